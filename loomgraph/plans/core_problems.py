@@ -28,7 +28,7 @@ with recs as (select distinct raw_id, series, file_no, file_name, payload from m
 keyed as (select series, file_no, file_name, unnest(json_keys(payload)) as key, payload from recs),
 vals as (select series, file_no, file_name, key, json_extract(payload, '$."' || key || '"') as v from keyed),
 typed as (select *, case {_SPELLED} end as field,
-  nullif(nullif(nullif(replace(replace(json_structure(v)::varchar, 'UBIGINT', 'WHOLE'), 'BIGINT', 'WHOLE'), '"NULL"'), '["NULL"]'), '[["NULL"]]') as kind from vals),
+  nullif(nullif(nullif(regexp_replace(json_structure(v)::varchar, 'UBIGINT|BIGINT|HUGEINT', 'WHOLE', 'g'), '"NULL"'), '["NULL"]'), '[["NULL"]]') as kind from vals),
 prof as (select series, file_no, min(file_name) as file_name, field, string_agg(distinct key, ',' order by key) as sp, string_agg(distinct kind, ',' order by kind) as ki
   from typed where field is not null group by series, file_no, field),
 files as (select series, file_no, min(file_name) as file_name from prof group by series, file_no),
@@ -55,13 +55,14 @@ def p1_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _RECORDS = r"""
-with f as (select distinct file_id, file_path, coalesce(file_content, '') as c from feature_file),
-l as (select file_path, list_filter(string_split(replace(c, chr(13), ''), chr(10)), lambda x: length(trim(x)) > 0) as ls from f where not json_valid(c)),
-recs as (select file_path, unnest(json_extract(c, '$[*]')) as r from f where json_valid(c) and json_type(c) = 'ARRAY'
-  union all select file_path, c::json from f where json_valid(c) and json_type(c) = 'OBJECT' and json_exists(c, '$.instance_id')
-  union all select file_path, unnest(ls)::json from l where list_bool_and(list_transform(ls, lambda x: json_valid(x) and json_type(x) = 'OBJECT'))),
-ids as (select file_path, r->>'instance_id' as i from recs
-  union all select file_path, unnest(json_keys(c)) from f where json_valid(c) and json_type(c) = 'OBJECT' and not json_exists(c, '$.instance_id'))
+with f as (select distinct file_id, file_path, coalesce(file_content, '') as c, case when json_valid(file_content) then file_content end as j from feature_file),
+l as (select file_path, list_filter(string_split(replace(c, chr(13), ''), chr(10)), lambda x: length(trim(x)) > 0) as ls from f where j is null),
+v as (select file_path, unnest(list_transform(ls, lambda x: case when json_valid(x) then x end)) as j from l
+  where len(ls) > 0 and list_bool_and(list_transform(ls, lambda x: json_valid(x) and coalesce(json_type(case when json_valid(x) then x end), '') = 'OBJECT'))),
+docs as (select file_path, j from f where j is not null union all select file_path, j from v),
+ids as (select file_path, unnest(json_extract(j, '$[*]'))->>'instance_id' as i from docs where json_type(j) = 'ARRAY'
+  union all select file_path, j->>'instance_id' from docs where json_type(j) = 'OBJECT' and json_exists(j, '$.instance_id')
+  union all select file_path, unnest(json_keys(j)) from docs where json_type(j) = 'OBJECT' and not json_exists(j, '$.instance_id'))
 select distinct regexp_extract(file_path, 'scene\d+_\d+') as scan_id, regexp_extract(file_path, '(\d+)_[^/]*$', 1)::int as frame_id, i::int as instance_id from ids
 """
 
