@@ -30,14 +30,20 @@ BUDGET = 1
 SHARD_ITEMS = 20_000
 
 
+def peq_table(pattern: str) -> dict[str, int]:
+    """Bit mask of the places of each character."""
+    peq: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        peq[c] = peq.get(c, 0) | 1 << i
+    return peq
+
+
 def myers(pattern: str, text: str, limit: int) -> int:
     """Least edit distance of the pattern to any stretch of the text; limit + 1 if more than the limit."""
     m = len(pattern)
     if not m:
         return 0
-    peq: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        peq[c] = peq.get(c, 0) | 1 << i
+    peq = peq_table(pattern)
     mask, top = (1 << m) - 1, 1 << m - 1
     pv, mv, score, best = mask, 0, m, m
     for c in text:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import leakage, ngrams, splits, tokens
+from loomgraph.llm import canonical, leakage, neighbours, ngrams, splits, tokens
 from loomgraph.tables import table
 
 QUERIES = {}
@@ -22,6 +22,37 @@ def query(sql: str | None = None):
     return register
 
 
+_NEAR = """
+select '{field}' as field_name, id_a, id_b from (
+with v as (select {key} as id, any_value({col})::double[] as v from {table} where {col} is not null and len({col}) = 64
+    and list_bool_and(list_transform({col}, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform({col}, lambda x: x <> 0)) group by {key}),
+u as (select id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from v),
+p as (select a.id as a, b.id as b, list_dot_product(a.u, b.u) as c from u a join u b on a.id <> b.id where list_dot_product(a.u, b.u) >= 0.92),
+r as (select *, row_number() over (partition by a order by c desc, b) as rank from p)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where rank <= 10)
+"""
+_NEAREST = " union all ".join(_NEAR.format(field=f"{t}.{c}", table=t, key=k, col=c) for t, k, c in (("object_node", "node_key", "visual_embedding"), ("instance_info", "obs_id", "bert_embedding"), ("instance_info", "obs_id", "feature")))
+
+
+@query(_NEAREST)
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    sources = [
+        (table(spark, folder, "object_node"), "node_key", [("object_node.visual_embedding", "visual_embedding")]),
+        (table(spark, folder, "instance_info"), "obs_id", [("instance_info.bert_embedding", "bert_embedding"), ("instance_info.feature", "feature")]),
+    ]
+    return neighbours.similar_pairs(neighbours.nearest(sources, k=10, min_cosine=0.92))
+
+
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.map_names(_named(spark, folder), table(spark, folder, "label_table")).select("src", "row_id", "label_id")
+
+
+@query()
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.unmatched_values(canonical.map_names(_named(spark, folder), table(spark, folder, "label_table")))
+
+
 _GROUPS = r"""
 with recursive n as (select distinct match_id, try_cast(nullif(regexp_extract(lower(scene_graph_id), 'scene[\s_-]*(\d+)', 1), '') as int) as a,
   try_cast(nullif(regexp_extract(lower(frame_scene), 'scene[\s_-]*(\d+)', 1), '') as int) as b from matcher_row),
