@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import canonical, leakage, neighbours, ngrams, splits, tokens
+from loomgraph.llm import canonical, language, leakage, neighbours, ngrams, splits, tokens
 from loomgraph.tables import table
 
 QUERIES = {}
@@ -111,3 +111,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query()
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(language.label_documents(table(spark, folder, "documents"))).select("doc_id", "seg_no", "lang")
+
+
+@query()
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return language.label_documents(table(spark, folder, "documents"))

@@ -9,7 +9,7 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _CONTROL = re.compile(r"\\[nrt]")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 #: A hyphen at the end of a line, within a word.
-_BROKEN = re.compile(r"(?<=[^\W_])[-\u2010\u2011][ \t]*[\r\n\x0b\x0c\x85\u2028\u2029]\s*(?=[^\W\d_])")
+BROKEN = re.compile(r"(?<=[^\W_])[-\u2010\u2011][ \t]*[\r\n\x0b\x0c\x85\u2028\u2029]\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -18,7 +18,7 @@ def readable(text: str) -> str:
     if "\\" in text:
         text = _CONTROL.sub("\n", _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text))
         text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    text = _BROKEN.sub("", _INVISIBLE.sub("", text))
+    text = BROKEN.sub("", _INVISIBLE.sub("", text))
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     return text.casefold()
