@@ -35,7 +35,7 @@ class ForestRules:
     trees: int = 2
     extra: int = 2
     leaf_rows: int = 1024
-    sample_rows: int = 1 << 18
+    sample_rows: int = 1 << 17
     seed: int = 7
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scan_ids import scene_number
+from loomgraph.operators.graphs import connected_components
 from loomgraph.session import cut_lineage
 
 #: Weights handed to the balancer: groups of more than total / PARCELS rows by themselves, the rest pooled by hash into
@@ -28,28 +29,6 @@ BINS = 40
 BROADCAST_ROWS = 500_000
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (smallest node) for the nodes of edges that join two different nodes."""
-    links = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    if links.isEmpty():
-        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
-    while True:
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        links = cut_lineage(small)
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
-    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-
-
 def _join_small(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Left join with a table of one row per key: broadcast under a checked size, else shuffled, where adaptive execution splits hot keys."""
     return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, "left")
