@@ -62,7 +62,7 @@ def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
     of_core = core.join(numbered, ["scope", "id"]).join(component.select(F.col("node").alias("_n"), "component"), "_n", "left").withColumn("component", F.coalesce("component", "_n"))
     names = of_core.groupBy("component").agg(F.min("id").alias("cluster"))
     of_core = of_core.join(names, "component").select("scope", "id", "cluster")
-    border = pairs.join(core, (pairs["scope"] == core["scope"]) & (pairs["id1"] == core["id"]), "left_anti").join(of_core.select("scope", F.col("id").alias("id2"), "cluster"), ["scope", "id2"]).groupBy("scope", F.col("id1").alias("id")).agg(F.min("cluster").alias("cluster"))
+    border = pairs.join(core.withColumnRenamed("id", "id1"), ["scope", "id1"], "left_anti").join(of_core.select("scope", F.col("id").alias("id2"), "cluster"), ["scope", "id2"]).groupBy("scope", F.col("id1").alias("id")).agg(F.min("cluster").alias("cluster"))
     return points.select("scope", "id").join(of_core.unionByName(border), ["scope", "id"], "left")
 
 

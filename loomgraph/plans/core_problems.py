@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import compaction, drift, orphans
+from loomgraph.plans.registry import registry
 from loomgraph.tables import table
 
-QUERIES = {}
-SQL = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+QUERIES, SQL, query = registry()
 
 _SPELLED = " ".join(f"when lower(regexp_replace(key, '[^A-Za-z0-9]', '', 'g')) = '{s}' then '{f}'" for s, f in drift.DriftRules().spelling_map().items())
 _CHANGES = f"""

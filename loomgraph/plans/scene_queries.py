@@ -8,21 +8,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions import geometry, text, vectors
 from loomgraph.functions.scan_ids import first_scan_id, scan_id, scan_number, scene_number, subscan_range
 from loomgraph.operators import aggregates, ranking, relational, spatial
+from loomgraph.plans.registry import registry
 from loomgraph.tables import table
 
-QUERIES = {}
-SQL = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+QUERIES, SQL, query = registry()
 
 # the base tables, each row once
 
