@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +26,21 @@ BOX = f"struct<instance_id:int,center:{POINT},bbox_size:{POINT},rotation:array<a
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """file_path, value: one row per file below the path."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+
+
+def named_files(paths: DataFrame, path: str = "file_path") -> DataFrame:
+    """file_path, value of files by their full paths in a shared folder; also those whose names begin with `_`, which listings skip. Missing files give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(p, Path(p.removeprefix("file:"))) for p in pdf[path]]
+            yield pd.DataFrame([(p, f.read_text(errors="replace")) for p, f in found if f.is_file()], columns=["file_path", "value"])
+
+    return paths.select(path).mapInPandas(run, "file_path string, value string")
 
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -128,7 +143,7 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def numbers(value: Column) -> Column:
     """Numbers of a text, split at white space."""
-    return F.transform(F.split(F.trim(value), r"\s+"), lambda x: x.try_cast("double"))
+    return F.transform(F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), r"\s+"), lambda x: x.try_cast("double"))
 
 
 def parse_matrices(files: DataFrame) -> DataFrame:
