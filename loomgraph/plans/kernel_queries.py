@@ -22,11 +22,11 @@ def _node_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _clouds(spark: SparkSession, folder: str) -> DataFrame:
-    """scan_id, instance_id, points: the observed centers of each instance."""
+    """scan_id, instance_id, obs, points: the observed centers of each instance."""
     o = observations(spark, folder, "scan_id", "instance_id", "center").where("center is not null and instance_id >= 0")
     fine = F.array(*[F.col(f"center.{c}") for c in "xyz"])
     o = o.withColumn("p", fine).where(~F.exists("p", lambda v: v.isNull() | F.isnan(v)))
-    return o.groupBy("scan_id", "instance_id").agg(F.sort_array(F.collect_list(F.struct("obs_id", "p"))).alias("s")).select("scan_id", "instance_id", F.col("s.p").alias("points"))
+    return o.groupBy("scan_id", "instance_id").agg(F.sort_array(F.collect_list(F.struct("obs_id", "p"))).alias("s")).select("scan_id", "instance_id", F.col("s.obs_id").alias("obs"), F.col("s.p").alias("points"))
 
 
 _NEAR = BASE + ", n as (select a.node_key as a, b.node_key as b from pla a join pla b on a.scan_id = b.scan_id and a.node_key <> b.node_key where sqrt((a.y - b.y)^2 + (a.z - b.z)^2 + (a.x - b.x)^2) < 1.0), core as (select a as id from n group by a having count(*) + 1 >= 3)"
@@ -60,11 +60,12 @@ def euclidean_clusters(spark: SparkSession, folder: str) -> DataFrame:
 def outlier_removal(spark: SparkSession, folder: str) -> DataFrame:
     """IT5: observations of an instance that are no statistical outliers of its cloud."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.loc[kernels.statistical_inliers(np.vstack(pdf["p"]), 20, 2.0), ["obs_id"]]
+    def run(batches):
+        for pdf in batches:
+            stay = [np.asarray(o)[kernels.statistical_inliers(np.vstack(p), 20, 2.0)] for o, p in zip(pdf["obs"], pdf["points"])]
+            yield pd.DataFrame({"obs_id": np.concatenate(stay) if stay else np.zeros(0, np.int64)})
 
-    o = observations(spark, folder, "scan_id", "instance_id", "center").where("center is not null and instance_id >= 0").withColumn("p", F.array(*[F.col(f"center.{c}") for c in "xyz"])).where(~F.exists("p", lambda v: v.isNull() | F.isnan(v)))
-    return kernels.per_group(o.select("scan_id", "instance_id", "obs_id", "p"), ["scan_id", "instance_id"], run, "obs_id long")
+    return _clouds(spark, folder).select("obs", "points").mapInPandas(run, "obs_id long")
 
 
 @query()
@@ -137,16 +138,16 @@ def registration(spark: SparkSession, folder: str) -> DataFrame:
 def box_suppression(spark: SparkSession, folder: str) -> DataFrame:
     """IT12: boxes of a frame that no better one overlaps."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = []
-        for _, own in pdf.groupby("frame_id"):
-            keep.append(own["obs_id"].to_numpy()[kernels.suppress(own[["x0", "y0", "x1", "y1"]].to_numpy(), own["confidence"].to_numpy())])
-        return pd.DataFrame({"obs_id": np.concatenate(keep)})
+    def run(batches):
+        for pdf in batches:
+            stay = [[own[i]["obs_id"] for i in kernels.suppress(np.array([[r[c] for c in ("x0", "y0", "x1", "y1")] for r in own]), np.array([r["confidence"] for r in own]))] for own in pdf["boxes"]]
+            yield pd.DataFrame({"obs_id": np.array([i for s in stay for i in s], np.int64)})
 
     o = observations(spark, folder, "scan_id", "frame_id", "confidence", "center", "bbox_size").where("frame_id is not null and center.x is not null and center.y is not null and bbox_size.x is not null and bbox_size.y is not null")
     box = [F.col(f"center.{c}") + s * F.col(f"bbox_size.{c}") / 2 for s in (-1, 1) for c in "xy"]
     o = o.select("scan_id", "frame_id", "obs_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"))])
-    return kernels.per_group(o.withColumn("block", F.floor(F.col("frame_id") / 100)), ["scan_id", "block"], run, "obs_id long")  # 100 frames at a time
+    frames = o.groupBy("scan_id", "frame_id").agg(F.sort_array(F.collect_list(F.struct("obs_id", "confidence", "x0", "y0", "x1", "y1"))).alias("boxes"))  # the boxes of one image
+    return frames.select("boxes").mapInPandas(run, "obs_id long")
 
 
 _PIXELS = BASE + ", px as (select match_id as frame, generate_subscripts(keypoints0, 1) % 3 as id, floor(unnest(keypoints0)[1] * 5)::int as pixel from mat), m as (select distinct * from px where pixel is not null)"

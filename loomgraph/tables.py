@@ -9,3 +9,9 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Table name of the folder; with columns, only these are scanned."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that is heavy per row; large inputs have more already and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
