@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.words import BROKEN as _BROKEN
 from loomgraph.llm.words import readable
+from loomgraph.tables import spread_out
 
 #: The languages and their families.
 FAMILIES: dict[str, str] = {"en": "germanic", "de": "germanic", "nl": "germanic", "fr": "romance", "es": "romance", "pt": "romance", "it": "romance", "ru": "slavic", "zh": "sinitic"}
@@ -232,23 +233,23 @@ def segments(model: Model, text: str | None) -> list[tuple[int, str, float, int]
 
 
 def label_documents(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, code (of the label, null if missing), seg_no, lang, confidence, sentences, segments (of the document)."""
+    """doc_id, code (of the label, null if missing), seg_no, lang, confidence, sentences, and of the document segments and first_lang."""
     sent = documents.sparkSession.sparkContext.broadcast(model or train(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
         for b in batches:
             rows = []
             for d, code, text in zip(*(c.to_pylist() for c in b.columns)):
                 found = segments(sent.value, text)
-                rows += [(d, code, *s, len(found)) for s in found]
+                rows += [(d, code, *s, len(found), found[0][1]) for s in found]
             columns = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "code", "seg_no", "lang", "confidence", "sentences", "segments"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "code", "seg_no", "lang", "confidence", "sentences", "segments", "first_lang"])
 
-    return documents.select(F.col("doc_id").cast("long"), label_code(F.col("lang")).alias("code"), "text").mapInArrow(run, "doc_id long, code string, seg_no int, lang string, confidence double, sentences int, segments int")
+    texts = spread_out(documents.select(F.col("doc_id").cast("long"), label_code(F.col("lang")).alias("code"), "text"))
+    return texts.mapInArrow(run, "doc_id long, code string, seg_no int, lang string, confidence double, sentences int, segments int, first_lang string")
 
 
 def mislabelled(labelled: DataFrame) -> DataFrame:
     """The segments of the documents whose label is missing or wrong, or that mix languages."""
-    first = labelled.where("seg_no = 1 and (segments > 1 or code is null or code <> lang)").select("doc_id")
-    return labelled.join(first, "doc_id", "left_semi")
+    return labelled.where("segments > 1 or code is null or code <> first_lang")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import words
+from loomgraph.tables import spread_out
 
 WINDOW = 12
 PIECE = 4
@@ -169,7 +170,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, p
     """doc_id, item_id, run_words, distance: documents that hold a window of an item within the budget of edits."""
     spark = documents.sparkSession
     one = items.select("item_id", "text").where("text is not null").dropDuplicates(["item_id"])
-    docs = documents.select("doc_id", "text").where("text is not null")
+    docs = spread_out(documents.select("doc_id", "text").where("text is not null"))
     shards = max(1, -(-one.count() // shard_items))
     out = None
     for shard in range(shards):

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.session import cut_lineage
+from loomgraph.tables import spread_out
 
 
 @dataclass(frozen=True)
@@ -304,7 +305,7 @@ def nearest(sources: Sequence[tuple[DataFrame, str, Sequence[tuple[str, str]]]],
     kinds = "field int, tree int, leaf long, items int, ids binary, rows binary"
     blocks = None
     for own, fields in indexed:
-        part = own.mapInArrow(_index(fields, sent, rules, k + 1), kinds)
+        part = spread_out(own).mapInArrow(_index(fields, sent, rules, k + 1), kinds)
         blocks = part if blocks is None else blocks.unionByName(part)
     found = blocks.groupBy("field", "tree", "leaf").applyInArrow(_search(k, min_cosine, k + 1, rules.dim), PAIRS)
     for copies in extra:

@@ -16,6 +16,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from loomgraph.tables import spread_out
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -59,7 +61,7 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread_out(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def decode_column(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: str = RANKS) -> DataFrame:
