@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scan_ids import first_scan_id
-from loomgraph.operators import graphs, kernels, matching
+from loomgraph.functions import embeddings, vectors
+from loomgraph.operators import filters, graphs, kernels, matching
+from loomgraph.plans import pipelines
 from loomgraph.plans.registry import registry
 from loomgraph.plans.scene_queries import BASE, correspondence, matcher_rows, nodes, observations, placed_nodes
 from loomgraph.streaming import sync
@@ -225,3 +227,80 @@ def stream_compaction(spark: SparkSession, folder: str) -> DataFrame:
     e = sync.as_stream(spark, folder, "embeddings")
     p = e.select(F.col("label").cast("long").alias("scope"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
     return sync.run_to_end(sync.compacted(p, 0.2), "complete").select("scope", "vx", "vy", "vz", F.round("sx", 5).alias("sx"), "n")
+
+
+# whole jobs
+
+
+@query(
+    BASE
+    + """, s as (select scan_id, instance_id, count(*) as n, avg(center.x) filter (isfinite(center.x) and isfinite(center.y) and isfinite(center.z)) as x, avg(center.y) filter (isfinite(center.x) and isfinite(center.y) and isfinite(center.z)) as y, avg(center.z) filter (isfinite(center.x) and isfinite(center.y) and isfinite(center.z)) as z from obs where instance_id >= 0 group by all having count(*) >= 2),
+k as (select * from s where x is not null),
+e as (select a.scan_id, count(*) as edges from k a join k b on a.scan_id = b.scan_id and a.instance_id < b.instance_id where sqrt((a.y - b.y)^2 + (a.z - b.z)^2 + (a.x - b.x)^2) < 1.0 group by a.scan_id)
+select k.scan_id, count(*) as nodes, coalesce(any_value(e.edges), 0) as edges from k left join e using (scan_id) group by k.scan_id"""
+)
+def map_construction(spark: SparkSession, folder: str) -> DataFrame:
+    """JN2 JN8 AG1 AG2 AG18 FL7 PR8 SK1 SC1: observations to graph documents and back, nodes and edges per scan."""
+    from loomgraph.sources import files
+
+    docs = pipelines.build_maps(observations(spark, folder, "scan_id", "instance_id", "object_name", "feature", "center"), radius=1.0)
+    g = files.parse_graph(docs.select(F.col("scan_id").alias("file_path"), F.col("json").alias("value")))
+    n = files.graph_nodes(g).groupBy("file_path").agg(F.count("*").alias("nodes"))
+    e = files.graph_edges(g).groupBy("file_path").agg(F.count("*").alias("edges"))
+    return n.join(e, "file_path", "left").select(F.col("file_path").alias("scan_id"), "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query(
+    BASE
+    + """select count(*) filter (object_name is not null and trim(object_name) <> '' and lower(trim(object_name)) <> 'unknown') as named, count(*) filter (confidence > 0.3 and not isnan(confidence)) as alike,
+count(*) filter (bbox_size.x <= 3 and bbox_size.y <= 3 and bbox_size.z <= 3) as solid, count(*) filter (frame_id % 3 = 0) as sampled, count(*) filter (object_name is not null and not contains(object_name, 'chair') and not contains(object_name, 'Wall')) as clean,
+count(*) filter (regexp_extract(scan_id, 'scene(\\d+)', 1)::int between 1 and 3) as ranged, count(*) filter (regexp_extract(scan_id, 'scene(\\d+)', 1)::int < 600) as training from obs"""
+)
+def filter_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """FL1 FL3 FL8 FL12 FL14 FL15: how many observations pass each predicate."""
+    from loomgraph.functions.scan_ids import scene_number
+
+    o = observations(spark, folder, "scan_id", "frame_id", "object_name", "confidence", "bbox_size")
+    n = scene_number(F.col("scan_id"))
+    return o.agg(
+        F.count_if(filters.named(F.col("object_name"))).alias("named"),
+        F.count_if(filters.alike(F.col("confidence"), 0.3)).alias("alike"),
+        F.count_if(filters.solid(F.col("bbox_size"), F.lit(10))).alias("solid"),
+        F.count_if(F.coalesce(filters.sampled(F.col("frame_id"), 3), F.lit(False))).alias("sampled"),
+        F.count_if(filters.without_parts(F.col("object_name"), ["chair", "Wall"])).alias("clean"),
+        F.count_if(filters.scenes_between(n, 1, 3)).alias("ranged"),
+        F.count_if(filters.is_training(n)).alias("training"),
+    )
+
+
+@query(
+    BASE
+    + """, w as (select distinct scan_id, (frame_id // 300)::int as win, unnest(range(frame_id // 300 * 300, frame_id // 300 * 300 + 300, 3)) as f from obs where frame_id is not null), p as (select distinct scan_id, frame_id as f from obs where frame_id is not null)
+select w.scan_id, w.win from w left join p on p.scan_id = w.scan_id and p.f = w.f group by all having avg((p.f is not null)::int) >= 0.5"""
+)
+def present_subscans(spark: SparkSession, folder: str) -> DataFrame:
+    """FL18: subscans of 100 frames of which at least half are there."""
+    o = observations(spark, folder, "scan_id", "frame_id").where("frame_id is not null").select("scan_id", "frame_id").distinct().withColumn("win", (F.col("frame_id") / 300).cast("int"))
+    wanted = o.select("scan_id", "win").distinct().withColumn("frame_id", F.explode(F.sequence(F.col("win") * 300, F.col("win") * 300 + 297, F.lit(3))))
+    return filters.present_enough(wanted, o, ["scan_id", "win"], "frame_id")
+
+
+@query(BASE + ", c as (select scan_id, node_id from nod where node_id % 2 = 1) select obs_id from obs where exists (select 1 from c where c.scan_id = obs.scan_id and c.node_id = obs.instance_id) or instance_id = 0")
+def points_by_valid_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """FL16 AG9: observations of valid ids, the background kept."""
+    valid = nodes(spark, folder, "scan_id").where("node_id % 2 = 1").select("scan_id", F.col("node_id").alias("instance_id"))
+    return filters.points_of(observations(spark, folder, "scan_id", "instance_id"), valid, ["scan_id"], "instance_id", keep_background=True).select("obs_id")
+
+
+@query()
+def text_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """UD1 UD2 FL13: hashed embedding of each distinct name and how like a denied name it is."""
+    n = observations(spark, folder, "object_name").where("object_name is not null").select("object_name").distinct()
+    v, wall = embeddings.hashed_embedding(F.col("object_name")), embeddings.hashed_embedding(F.lit("wall"))
+    return n.select("object_name", v.alias("v")).withColumn("like_wall", F.coalesce(F.round(vectors.cosine(F.col("v"), wall), 6), F.lit(0.0))).where(filters.allowed_tag(F.col("object_name"), F.col("like_wall"), 0.8)).select("object_name", "like_wall")
+
+
+@query()
+def matcher_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """SK15 SK16 AG14: report of the matcher rows."""
+    return pipelines.summary(matcher_rows(spark, folder))

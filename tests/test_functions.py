@@ -149,3 +149,47 @@ def test_positions(spark):
     assert tuple(r) == (1.0, 0.0)
     kept = spark.createDataFrame([("a2",), ("a10",), ("a1",)], "t string").orderBy(relational.natural_order("t")).collect()
     assert [r["t"] for r in kept] == ["a1", "a2", "a10"]
+
+
+def test_embeddings_and_filters(spark):
+    from loomgraph.functions import embeddings
+    from loomgraph.operators import filters
+
+    r = one(spark, *[embeddings.hashed_embedding(F.lit(t).cast("string")) for t in ("Office chair", "office  CHAIR!", "", None)])
+    assert r[0] == r[1] and np.isclose(np.linalg.norm(r[0]), 1) and set(r[2]) == {0.0} and r[3] is None
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, t string")
+    got = {x["k"]: x["embedding"] for x in embeddings.embed(df, "k", "t", lambda: lambda texts: [[float(len(t))] for t in texts]).collect()}
+    assert got == {1: [1.0], 2: None}
+    nan, null = F.lit(float("nan")), F.lit(None).cast("double")
+    r = one(spark, filters.alike(nan, 0.5), filters.alike(F.lit(0.5), 0.5), filters.near(nan, 1), filters.accepted(F.lit(0.21), F.lit(0.0)), filters.accepted(null, null), filters.measured(F.lit(0.0)), filters.foreground(F.lit(152), F.lit(223), F.lit(138)), filters.named(F.lit(" Unknown ")), filters.in_image(F.lit(640), F.lit(0), 640, 480), filters.picked(F.lit(0.5), F.lit(1.0)), filters.an_object(F.lit("Floor"), F.lit(500)), filters.detected(F.lit(0.4), F.lit(0.1), F.lit(3)))
+    assert list(r) == [False, False, False, True, False, False, False, False, False, True, False, True]
+
+
+def test_augmentation_repeats(spark):
+    from loomgraph.operators import augment
+
+    objects = spark.range(400).select((F.col("id") % 40).alias("g"), "id", *[F.lit(0.5).alias(c) for c in "xyz"], F.lit(0.1).alias("size"))
+    first, again = (sorted(map(tuple, augment.augment(objects, ["g", "id"], ["g"]).collect())) for _ in range(2))
+    assert first == again and 200 < len(first) < 400 and {r[-1] for r in first} == {"kept", "moved"}
+    assert all(0 <= v <= 1 for r in first for v in r[2:5])
+
+
+def test_training_rows(spark):
+    from loomgraph.operators import matching
+
+    source = spark.createDataFrame([("f", "m", "a", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), ("f", "m", "b", 1.0, 1.0, 1.0, 9.0, 1.0, 1.0), ("g", "m", "a", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "frame string, map string, id string, x double, y double, z double, h double, w double, l double")
+    target = spark.createDataFrame([("m", 5, "A", 0.5, 0.5, 0.5, 1.0, 1.0, 1.0), ("m", 2, "B", 1.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "map string, ord int, id string, x double, y double, z double, h double, w double, l double")
+    truth = spark.createDataFrame([("m", "a", "A"), ("m", "z", "B")], "map string, id string, target_id string")
+    rows = matching.matcher_rows(source, target, truth).collect()
+    assert len(rows) == 1 and rows[0]["matches0"] == [1, -1] and rows[0]["bbox0"][1][0] == 1.0
+    assert rows[0]["keypoints0"][0] == pytest.approx([1 / 12] * 3) and len(rows[0]["keypoints1"]) == 2
+
+
+def test_masks(spark):
+    from loomgraph.operators import matching
+
+    left = spark.createDataFrame([("f", 1, p) for p in range(4)] + [("f", 2, 9)], "frame string, id int, pixel int")
+    right = spark.createDataFrame([("f", 7, p) for p in range(3)] + [("f", 8, 3)], "frame string, id int, pixel int")
+    assert {(r["mask"], r["instance"], round(r["iou"], 2)) for r in matching.mask_overlap(left, right).collect()} == {(1, 7, 0.75), (2, 0, 0.0)}
+    over = spark.createDataFrame([("f", 1, p) for p in range(4)] + [("f", 2, 3)], "frame string, id int, pixel int")
+    assert {(r["pixel"], r["label"]) for r in matching.painted(over).collect()} == {(0, 1), (1, 1), (2, 1), (3, 2)}
