@@ -43,9 +43,7 @@ def embed(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[
         encode = load()
         for pdf in batches:
             there = pdf[text].notna()
-            out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            if there.any():
-                out[there] = [[float(x) for x in v] for v in encode(pdf.loc[there, text].tolist())]
-            yield pd.DataFrame({key: pdf[key], "embedding": out})
+            vectors = iter(encode(pdf.loc[there, text].tolist()) if there.any() else [])
+            yield pd.DataFrame({key: pdf[key], "embedding": [[float(x) for x in next(vectors)] if t else None for t in there]})
 
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<double>")
