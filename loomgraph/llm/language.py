@@ -8,7 +8,7 @@ fitted on the other half, and sentences whose label these contradict are left ou
 
 Defined cases. Words with digits or underscores, settings, markup and JSON keys are no words. A sentence has at least
 MIN_WORDS words (Han characters count singly, MIN_HAN of them). Null, empty and blank texts and those without a sentence
-have no segment. A sentence whose best two languages are closer than MIN_MARGIN takes the language of the sentence before
+have no segment. A sentence whose closest decision is under MIN_MARGIN (MIN_SHORT_MARGIN if short) takes the language of the sentence before
 it, else of the one after. Labels count by their letters before any region; anything but a known code is missing. Whole
 texts are read; other columns are ignored.
 """
@@ -39,7 +39,10 @@ EPOCHS = 4
 BITS = 16
 MIN_WORDS = 3
 MIN_HAN = 4
+#: Least margin of a decision, and that of a sentence of fewer than SHORT words (fragments of other texts are short).
 MIN_MARGIN = 0.15
+SHORT = 9
+MIN_SHORT_MARGIN = 0.6
 
 _JSON_VALUE = re.compile(r'"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
 _JSON = re.compile(r'[{\[]\s*[{"]')
@@ -213,17 +216,18 @@ def fitted(texts: Sequence[tuple[str, str]], sample_sentences: int = SAMPLE_SENT
 
 def segments(model: Model, text: str | None) -> list[tuple[int, str, float, int]]:
     """(seg_no, language, confidence, sentences) of each maximal stretch of sentences in one language."""
-    found = [model.predict(ws) for ws in sentences(text)]
-    codes: list[str | None] = [c if m >= MIN_MARGIN else None for c, m in found]
+    own = sentences(text)
+    found = [model.predict(ws) for ws in own]
+    codes: list[str | None] = [c if m >= (MIN_SHORT_MARGIN if len(ws) < SHORT else MIN_MARGIN) else None for ws, (c, m) in zip(own, found)]
     for i, c in enumerate(codes):
         if c is None and i:
             codes[i] = codes[i - 1]
     for i in range(len(codes) - 2, -1, -1):
         codes[i] = codes[i] or codes[i + 1]
     out: list[list] = []
-    for code, (own, margin) in zip(codes, found):
-        code = code or own
-        sure = 1 / (1 + np.exp(-4 * margin)) if own == code else 0.5
+    for code, (alone, margin) in zip(codes, found):
+        code = code or alone
+        sure = 1 / (1 + np.exp(-4 * margin)) if alone == code else 0.5
         if out and out[-1][1] == code:
             out[-1][2] += sure
             out[-1][3] += 1
