@@ -111,25 +111,33 @@ def route(x: np.ndarray, trees: Sequence[tuple[np.ndarray, np.ndarray]], depth:
     return list(own), further
 
 
+def _planes(raw: np.ndarray) -> bytes:
+    """Byte planes of numbers, compressed."""
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(raw).view(np.uint8).reshape(-1, raw.itemsize).T.tobytes(), asbytes=True)
+
+
+def _numbers(block: bytes, kind: str, n: int) -> np.ndarray:
+    dtype = np.dtype(kind)
+    planes = pa.Codec("zstd").decompress(block, n * dtype.itemsize, asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, -1).T.copy().view(dtype).reshape(n)
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Lossless block of float32 rows: scaled to int16 where that is exact, then split into byte planes and compressed."""
+    """Lossless block of float32 rows: whole numbers of 16 bits (small ones small, whatever their sign) where a power of two makes them so, else as they are."""
     for power in (8, 12):
         scaled = x * np.float32(1 << power)
         whole = np.rint(scaled)
         if np.array_equal(scaled, whole) and np.abs(whole).max(initial=0) < 32768:
-            raw, head = whole.astype("<i2"), power
-            break
-    else:
-        raw, head = x.astype("<f4"), 0
-    planes = np.ascontiguousarray(raw).view(np.uint8).reshape(-1, raw.itemsize).T.tobytes()
-    return bytes([head]) + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+            v = whole.astype(np.int32)
+            return bytes([power]) + _planes(((v << 1) ^ (v >> 31)).astype("<u2").ravel())
+    return bytes([0]) + _planes(x.astype("<f4").ravel())
 
 
 def unpack(block: bytes, rows: int, dim: int) -> np.ndarray:
-    kind = np.dtype("<i2") if block[0] else np.dtype("<f4")
-    planes = pa.Codec("zstd").decompress(block[1:], rows * dim * kind.itemsize, asbytes=True)
-    raw = np.frombuffer(planes, np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).reshape(rows, dim)
-    return raw.astype(np.float32) / np.float32(1 << block[0]) if block[0] else raw
+    if not block[0]:
+        return _numbers(block[1:], "<f4", rows * dim).reshape(rows, dim)
+    u = _numbers(block[1:], "<u2", rows * dim).astype(np.int32)
+    return ((u >> 1) ^ -(u & 1)).astype(np.float32).reshape(rows, dim) / np.float32(1 << block[0])
 
 
 def valid_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +167,7 @@ def few_copies(ids: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
     return np.sort(order[by[rank < keep]])
 
 
-BLOCK = pa.schema([("field", pa.int32()), ("tree", pa.int32()), ("leaf", pa.int64()), ("items", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())])
+BLOCK = pa.schema([("field", pa.int32()), ("tree", pa.int32()), ("leaf", pa.int64()), ("items", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())])
 
 
 def _blocks(field: int, ids: np.ndarray, x: np.ndarray, forest, rules: ForestRules) -> Iterator[pa.RecordBatch]:
@@ -182,7 +190,7 @@ def _blocks(field: int, ids: np.ndarray, x: np.ndarray, forest, rules: ForestRul
         at, leaf, query = at[order], leaf[order], query[order]
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(leaf)) + 1, [len(leaf)]])
         for a, b in zip(bounds[:-1], bounds[1:]):
-            out.append((field, t, int(leaf[a]), int(b - a - query[a:b].sum()), ids[at[a:b]].astype("<i8").tobytes(), pack(x[at[a:b]])))
+            out.append((field, t, int(leaf[a]), int(b - a - query[a:b].sum()), int(b - a), _planes(ids[at[a:b]].astype("<i8")), pack(x[at[a:b]])))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), BLOCK)], schema=BLOCK)
 
@@ -247,11 +255,10 @@ PAIRS = "field int, a long, b long, cosine double"
 def _search(k: int, min_cosine: float, keep: int, dim: int):
     def run(table: pa.Table) -> pa.Table:
         ids, x, item = [], [], []
-        for n, i, rows in zip(table["items"].to_pylist(), table["ids"].to_pylist(), table["rows"].to_pylist()):
-            own = np.frombuffer(i, "<i8")
-            ids.append(own)
-            x.append(unpack(rows, len(own), dim))
-            item.append(np.arange(len(own)) < n)
+        for n, size, i, rows in zip(*(table[c].to_pylist() for c in ("items", "size", "ids", "rows"))):
+            ids.append(_numbers(i, "<i8", size))
+            x.append(unpack(rows, size, dim))
+            item.append(np.arange(size) < n)
         ids, x, item = np.concatenate(ids), np.concatenate(x), np.concatenate(item)
         order = np.argsort(~item, kind="stable")  # of a row that is item and query, the item stays
         ids, x, item = ids[order], x[order], item[order]
@@ -302,7 +309,7 @@ def nearest(sources: Sequence[tuple[DataFrame, str, Sequence[tuple[str, str]]]],
         indexed.append((own, fields))
         del sample
     sent = spark.sparkContext.broadcast(forests)
-    kinds = "field int, tree int, leaf long, items int, ids binary, rows binary"
+    kinds = "field int, tree int, leaf long, items int, size int, ids binary, rows binary"
     blocks = None
     for own, fields in indexed:
         part = spread_out(own).mapInArrow(_index(fields, sent, rules, k + 1), kinds)
