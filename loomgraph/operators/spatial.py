@@ -98,11 +98,11 @@ def finite(*cols: str) -> Column:
 
 
 def mahalanobis_filter(points: DataFrame, limit: float = 1.2, keys: Sequence[str] = ("scope",)) -> DataFrame:
-    """Points whose Mahalanobis distance to their group is at most the limit, with `mahalanobis`; groups without a proper covariance stay."""
+    """Points whose Mahalanobis distance to their group is at most the limit, with `mahalanobis`; groups that lie in a plane or less stay whole, with null."""
     stats = points.groupBy(*keys).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")])
     a, b, c, d, e, f = (F.col(f"s{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz"))
     det = a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)
     dx, dy, dz = (F.col(p) - F.col(f"m{p}") for p in "xyz")
     form = dx * dx * (d * f - e * e) + dy * dy * (a * f - c * c) + dz * dz * (a * d - b * b) + 2 * (dx * dy * (c * e - b * f) + dx * dz * (b * e - c * d) + dy * dz * (b * c - a * e))
-    out = points.join(stats, list(keys)).withColumn("mahalanobis", F.when(det > 1e-18, F.sqrt(F.greatest(form / det, F.lit(0.0)))))
+    out = points.join(stats, list(keys)).withColumn("mahalanobis", F.when(det > 1e-6 * a * d * f, F.sqrt(F.greatest(form / det, F.lit(0.0)))))
     return out.where(F.col("mahalanobis").isNull() | (F.col("mahalanobis") <= limit)).select(*points.columns, "mahalanobis")

@@ -181,7 +181,7 @@ def edge_direction(spark: SparkSession, folder: str) -> DataFrame:
 m as (select node_key, x - mx as p, y - my as q, z - mz as r, s.* from pla join s using (scan_id)),
 k as (select *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) as det from m)
 select node_key, round(sqrt((p * p * (d * f - e * e) + q * q * (a * f - c * c) + r * r * (a * d - b * b) + 2 * (p * q * (c * e - b * f) + p * r * (b * e - c * d) + q * r * (b * c - a * e))) / det), 5) as distance from k
-where det > 1e-18 and sqrt((p * p * (d * f - e * e) + q * q * (a * f - c * c) + r * r * (a * d - b * b) + 2 * (p * q * (c * e - b * f) + p * r * (b * e - c * d) + q * r * (b * c - a * e))) / det) <= 1.2"""
+where det > 1e-6 * a * d * f and sqrt((p * p * (d * f - e * e) + q * q * (a * f - c * c) + r * r * (a * d - b * b) + 2 * (p * q * (c * e - b * f) + p * r * (b * e - c * d) + q * r * (b * c - a * e))) / det) <= 1.2"""
 )
 def mahalanobis(spark: SparkSession, folder: str) -> DataFrame:
     """IT8: nodes near the middle of their scan by Mahalanobis distance."""
