@@ -277,11 +277,12 @@ def match_values(values: DataFrame, reference: DataFrame, shard_entries: int = S
 
 def map_names(named: dict[str, tuple[DataFrame, str, str]], reference: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """src, row_id, value, label_id, distance of every named row of each src (rows, key, value)."""
-    rows = None
+    rows = values = None
     for src, (df, key, value) in named.items():
-        own = df.select(F.lit(src).alias("src"), F.col(key).cast("long").alias("row_id"), F.col(value).alias("value")).where(is_name(F.col("value"))).dropDuplicates(["row_id"])
-        rows = own if rows is None else rows.unionByName(own)
-    matched = cut_lineage(match_values(rows.select("value").distinct(), reference))
+        every = df.select(F.lit(src).alias("src"), F.col(key).cast("long").alias("row_id"), F.col(value).alias("value")).where(is_name(F.col("value")))
+        own, seen = every.dropDuplicates(["row_id"]), every.select("value")
+        rows, values = (own, seen) if rows is None else (rows.unionByName(own), values.unionByName(seen))
+    matched = cut_lineage(match_values(values.distinct(), reference))  # repeated rows need not be known apart for this
     # a third of all rows may share one value: a small table is broadcast; else adaptive execution splits the hot value
     small = matched.agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("size")).first()
     fits = small["n"] <= broadcast_rows and (small["size"] or 0) <= 64 * broadcast_rows
