@@ -13,13 +13,27 @@ def position(keys: Sequence[str], *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
 
 
+def spread_position(df: DataFrame, keys: Sequence[str], bucket: Column, *order: Column | str, name: str = "position") -> DataFrame:
+    """df with the place of each row within its key, from 0, where a key may hold any share of all rows.
+
+    bucket: a number (null first) that never falls along the order. Places are counted within buckets, whose starts are
+    running sums over the few buckets of a key, so that no task sorts a whole key.
+    """
+    parted = df.withColumn("_bucket", F.coalesce(bucket.cast("long"), F.lit(-(1 << 62))))
+    sizes = parted.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sizes.select(*keys, "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
+    return parted.join(starts, [*keys, "_bucket"]).withColumn(name, F.col("_start") + position([*keys, "_bucket"], *order)).drop("_bucket", "_start")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column | str) -> DataFrame:
     """The first k rows of each key, with `rank` from 1."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def every_nth(df: DataFrame, keys: Sequence[str], n: int, *order: Column | str) -> DataFrame:
-    return df.withColumn("_p", position(keys, *order)).where(F.col("_p") % n == 0).drop("_p")
+def every_nth(df: DataFrame, keys: Sequence[str], n: int, bucket: Column, *order: Column | str) -> DataFrame:
+    """Every n-th row of each key; bucket as in spread_position."""
+    return spread_position(df, keys, bucket, *order, name="_p").where(F.col("_p") % n == 0).drop("_p")
 
 
 def scene_batches(df: DataFrame, scene: str, size: int) -> DataFrame:

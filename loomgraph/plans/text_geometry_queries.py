@@ -222,7 +222,7 @@ def frame_batches(spark: SparkSession, folder: str) -> DataFrame:
 def every_nth(spark: SparkSession, folder: str) -> DataFrame:
     """WN8 SM6 T14: every third observation of a scan."""
     o = observations(spark, folder, "scan_id", "frame_id")
-    return ranking.every_nth(o, ["scan_id"], 3, F.asc_nulls_first("frame_id"), "obs_id").select("obs_id")
+    return ranking.every_nth(o, ["scan_id"], 3, F.floor(F.col("frame_id") / 100), F.asc_nulls_first("frame_id"), "obs_id").select("obs_id")
 
 
 @query(BASE + "select node_key, scan_id || '/' || lpad(node_id::varchar, 12, '0') as ordered, (row_number() over (partition by scan_id order by node_id desc, node_key))::int as rank from nod where node_id is not null")
