@@ -298,7 +298,8 @@ def text_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     n = observations(spark, folder, "object_name").where("object_name is not null").select("object_name").distinct()
     n = n.repartition(spark.sparkContext.defaultParallelism, "object_name")  # few bytes, but much work per name
     v, wall = embeddings.hashed_embedding(F.col("object_name")), embeddings.hashed_embedding(F.lit("wall"))
-    return n.select("object_name", v.alias("v")).withColumn("like_wall", F.coalesce(F.round(vectors.cosine(F.col("v"), wall), 6), F.lit(0.0))).where(filters.allowed_tag(F.col("object_name"), F.col("like_wall"), 0.8)).select("object_name", "like_wall")
+    like = embeddings.let(v, lambda a: embeddings.let(wall, lambda b: F.coalesce(F.round(vectors.cosine(a, b), 6), F.lit(0.0))))
+    return n.withColumn("like_wall", like).where(filters.allowed_tag(F.col("object_name"), F.col("like_wall"), 0.8)).select("object_name", "like_wall")
 
 
 @query()
