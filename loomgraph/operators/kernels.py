@@ -6,7 +6,7 @@ scans: their size is bounded by one recording and does not grow with the number
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -176,24 +176,75 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-6))
 
 
+def matched(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the points of a and of b that have one of the other cloud nearer than the radius."""
+    if len(a) * len(b) > 1 << 20:
+        return nearest_distances(a, b)[:, 0] < radius, nearest_distances(b, a)[:, 0] < radius
+    near = np.sqrt(squared_distances(a, b)) < radius
+    return near.any(1), near.any(0)
+
+
 def cloud_iou(a: np.ndarray, b: np.ndarray, radius: float) -> float:
     """Matched share of the points of both clouds."""
-    hits = (nearest_distances(a, b)[:, 0] < radius).sum() + (nearest_distances(b, a)[:, 0] < radius).sum()
-    return float(hits / (len(a) + len(b)))
+    in_a, in_b = matched(a, b, radius)
+    return float((in_a.sum() + in_b.sum()) / (len(a) + len(b)))
+
 
+class _Index:
+    """Instances by the cells of their points, with features and bounding boxes as arrays.
+
+    It only leaves out instances that cannot pass the tests of likeness and overlap, so the results are those of trying all.
+    """
 
-def resolve_entities(frames: Sequence[Sequence[tuple[int, np.ndarray, np.ndarray, str | None]]], alike: float = 0.8, overlap: float = 0.3, radius: float = 0.03, thin_over: int = 10_000) -> tuple[dict[int, int], list[Instance]]:
+    SLACK = 1e-6  # more than rounding
+
+    def __init__(self, radius: float, instances: Sequence[Instance] = ()):
+        self.radius, self.n, self.cells = radius, 0, {}
+        self.unit, self.low, self.high = np.zeros((0, 0)), np.zeros((0, 3)), np.zeros((0, 3))
+        for i, g in enumerate(instances):
+            self.put(i, g, g.points)
+
+    def _cells(self, points: np.ndarray) -> set[tuple[int, int, int]]:
+        return set(map(tuple, np.floor(points / (self.radius + self.SLACK)).astype(np.int64).tolist()))
+
+    def put(self, at: int, g: Instance, added: np.ndarray) -> None:
+        if at >= len(self.unit):
+            more = max(64, 2 * len(self.unit))
+            grown = [np.zeros((more, d)) for d in (len(g.feature), 3, 3)]
+            for new, old in zip(grown, (self.unit, self.low, self.high) if self.n else ()):
+                new[: self.n] = old[: self.n]
+            self.unit, self.low, self.high = grown
+        self.unit[at], self.low[at], self.high[at] = g.feature / (np.linalg.norm(g.feature) + 1e-9), g.points.min(0), g.points.max(0)
+        self.n = max(self.n, at + 1)
+        for cell in self._cells(added):
+            self.cells.setdefault(cell, set()).add(at)
+
+    def near(self, points: np.ndarray, start: int = 0) -> np.ndarray:
+        """Places from start on, ascending, of the instances that may have a point within the radius of these."""
+        around = {(x + i, y + j, z + k) for x, y, z in self._cells(points) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)}
+        found = set().union(*(self.cells[c] for c in around if c in self.cells))
+        at = np.fromiter(found, np.int64, len(found))
+        at = np.sort(at[at >= start])
+        gap = np.maximum(np.maximum(self.low[at] - points.max(0), points.min(0) - self.high[at]), 0)
+        return at[(gap * gap).sum(1) <= self.radius**2 + self.SLACK]
+
+    def alike(self, at: np.ndarray, feature: np.ndarray, least: float) -> np.ndarray:
+        return at[self.unit[at] @ feature >= (least - self.SLACK) * np.linalg.norm(feature)] if len(at) else at
+
+
+def resolve_entities(frames: Iterable[Sequence[tuple[int, np.ndarray, np.ndarray, str | None]]], alike: float = 0.8, overlap: float = 0.3, radius: float = 0.03, thin_over: int = 10_000) -> tuple[dict[int, int], list[Instance]]:
     """(detection -> instance, instances): each detection joins the best instance alike and overlapping enough, else begins one.
 
     frames: in order, the detections (number, points, feature, name) of each. The score is half likeness, half overlap; of
-    equal scores the older instance counts.
+    equal scores the older instance counts. alike and overlap are above 0.
     """
     instances: list[Instance] = []
+    index = _Index(radius)
     of: dict[int, int] = {}
     for frame in frames:
         for number, points, feature, name in frame:
             best, score = None, -1.0
-            for g in instances:
+            for g in (instances[i] for i in index.alike(index.near(points), feature, alike)):
                 s = similarity(g.feature, feature)
                 if s >= alike:
                     o = cloud_iou(g.points, points, radius)
@@ -204,6 +255,7 @@ def resolve_entities(frames: Sequence[Sequence[tuple[int, np.ndarray, np.ndarray
                 instances.append(best)
             else:
                 best.add(points, feature, name, len(points), thin_over)
+            index.put(best.number, best, points)
             of[number] = best.number
     return of, instances
 
@@ -211,15 +263,24 @@ def resolve_entities(frames: Sequence[Sequence[tuple[int, np.ndarray, np.ndarray
 def merge_instances(instances: Sequence[Instance], apart: float = 2.0, radius: float = 0.03) -> dict[int, int]:
     """instance -> instance it is merged into: later ones into earlier ones that are near, and overlap much or are alike and overlap some."""
     into: dict[int, int] = {}
+    index = _Index(radius, instances)
+    middle = [g.points.mean(0) for g in instances]
     for i, a in enumerate(instances):
         if a.number in into:
             continue
-        for b in instances[i + 1 :]:
-            if b.number in into or np.linalg.norm(a.points.mean(0) - b.points.mean(0)) > apart:
-                continue
-            o, s = cloud_iou(a.points, b.points, radius), similarity(a.feature, b.feature)
-            inside = (nearest_distances(b.points, a.points)[:, 0] < radius).mean()
-            if o > 0.7 or (s > 0.7 and (o > 0.3 or inside > 0.8)):
-                into[b.number] = a.number
-                a.absorb(b)
+        after = i + 1
+        while after is not None:  # a grows with every instance it absorbs, and those after that one meet the grown a
+            rest, after = index.near(a.points, after), None
+            for j in rest:
+                b = instances[j]
+                if b.number in into or np.linalg.norm(middle[i] - middle[j]) > apart:
+                    continue
+                in_a, in_b = matched(a.points, b.points, radius)
+                o, s = (in_a.sum() + in_b.sum()) / (len(a.points) + len(b.points)), similarity(a.feature, b.feature)
+                if o > 0.7 or (s > 0.7 and (o > 0.3 or in_b.mean() > 0.8)):
+                    into[b.number] = a.number
+                    a.absorb(b)
+                    middle[i] = a.points.mean(0)
+                    after = int(j) + 1
+                    break
     return into

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -88,7 +91,8 @@ def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_id", "obs_id"])
-        frames = [[(int(o), np.array([p]), np.array(f, float), n) for o, p, f, n in zip(g["obs_id"], g["p"], g["feature"], g["object_name"])] for _, g in pdf.groupby("frame_id", sort=True)]
+        rows = zip(pdf["frame_id"], pdf["obs_id"], pdf["p"], pdf["feature"], pdf["object_name"])
+        frames = ([(int(o), np.array([p]), np.array(f, float), n) for _, o, p, f, n in g] for _, g in groupby(rows, itemgetter(0)))
         of, instances = kernels.resolve_entities(frames, alike=0.8, overlap=0.3, radius=0.5)
         into = kernels.merge_instances(instances, apart=2.0, radius=0.5)
 
@@ -103,9 +107,7 @@ def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
     o = observations(spark, folder, "scan_id", "frame_id", "instance_id", "feature", "object_name", "center")
     o = o.where(usable(F.col("feature"), 64) & F.col("center").isNotNull() & F.col("frame_id").isNotNull() & F.col("instance_id").isNotNull()).withColumn("p", F.array(*[F.col(f"center.{c}") for c in "xyz"])).where(~F.exists("p", lambda v: v.isNull() | F.isnan(v)))
-    # detections are resolved within blocks of 250 frames of a scan, so that a long scan is no single task
-    o = o.withColumn("block", F.floor(F.col("frame_id") / 250))
-    return kernels.per_group(o.select("scan_id", "block", "frame_id", "obs_id", "feature", "object_name", "p"), ["scan_id", "block"], run, "obs_id long, entity int, scan_id string")
+    return kernels.per_group(o.select("scan_id", "frame_id", "obs_id", "feature", "object_name", "p"), ["scan_id"], run, "obs_id long, entity int, scan_id string")
 
 
 @query()

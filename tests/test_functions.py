@@ -139,6 +139,52 @@ def test_entities_join_and_merge():
     assert instances[0].count == 3
 
 
+def _detections(rows, folder):
+    """instance_info of (obs_id, scan_id, frame_id, place on x, axis of the feature)."""
+    import pandas as pd
+
+    f = lambda axis: np.eye(64, dtype=np.float32)[axis].tolist()
+    pd.DataFrame([{"obs_id": o, "scan_id": s, "frame_id": t, "instance_id": 1, "object_name": "a", "feature": f(axis), "center": {"x": float(x), "y": 0.0, "z": 0.0}} for o, s, t, x, axis in rows]).to_parquet(f"{folder}/instance_info.parquet")
+
+
+def test_entities_of_a_whole_scan(spark, tmp_path):
+    from loomgraph.plans.kernel_queries import QUERIES
+
+    _detections([(1, "s", 0, 0, 0), (2, "s", 600, 0.01, 0), (3, "s", 601, 9, 1), (4, "s", 1200, 9, 1), (5, "s", 1200, 20, 1)], tmp_path)
+    got = {r["obs_id"]: r["entity"] for r in QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] and got[3] == got[4] and len({got[1], got[3], got[5]}) == 3
+
+
+def test_entities_equal_trying_all_instances():
+    def plain(frames, alike, overlap, radius):
+        of, instances = {}, []
+        for n, p, f, name in itertools.chain(*frames):
+            scores = [(0.5 * s + 0.5 * o, -g.number) for g in instances if (s := kernels.similarity(g.feature, f)) >= alike and (o := kernels.cloud_iou(g.points, p, radius)) >= overlap]
+            if scores:
+                g = instances[-max(scores)[1]]
+                g.add(p, f, name, len(p), 10_000)
+            else:
+                g = kernels.Instance(len(instances), p, f, name, len(p))
+                instances.append(g)
+            of[n] = g.number
+        into = {}
+        for a, b in itertools.combinations(instances, 2):
+            if a.number in into or b.number in into or np.linalg.norm(a.points.mean(0) - b.points.mean(0)) > 2:
+                continue
+            o, s = kernels.cloud_iou(a.points, b.points, radius), kernels.similarity(a.feature, b.feature)
+            if o > 0.7 or (s > 0.7 and (o > 0.3 or (kernels.nearest_distances(b.points, a.points)[:, 0] < radius).mean() > 0.8)):
+                into[b.number] = a.number
+                a.absorb(b)
+        return of, into
+
+    rng = np.random.default_rng(3)
+    frames = [[(10 * t + d, rng.normal(rng.integers(-1, 2, 3), 0.15, (rng.integers(1, 6), 3)), np.eye(4)[rng.integers(0, 4)] + rng.normal(0, 0.2, 4), None) for d in range(5)] for t in range(30)]
+    of, instances = kernels.resolve_entities(frames, 0.8, 0.3, 0.5)
+    n = len(instances)
+    into = kernels.merge_instances(instances, 2.0, 0.5)
+    assert (of, into) == plain(frames, 0.8, 0.3, 0.5) and n < len(of) and into
+
+
 def test_positions(spark):
     frames = spark.createDataFrame([("s", i * 3) for i in range(25)] + [("t", 1)], "scan string, frame int")
     got = ranking.frame_sequences(frames, "scan", "frame", 10, 5).groupBy("scan", "seq_no").agg(F.sort_array(F.collect_list("frame")).alias("f")).collect()
