@@ -131,7 +131,7 @@ def registration(spark: SparkSession, folder: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["node_id"])
         a, b = np.vstack(pdf["a"]), np.vstack(pdf["b"])
-        good, t = kernels.ransac_fit(a, b, 0.3, 200)
+        good, t = kernels.ransac_fit(a, b, 0.3)
         t = kernels.icp(a, b, 0.3, start=t)
         return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "pairs": [len(a)], "agreeing": [int(good.sum())], "t": [t.ravel().tolist()]})
 

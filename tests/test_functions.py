@@ -185,6 +185,23 @@ def test_entities_equal_trying_all_instances():
     assert (of, into) == plain(frames, 0.8, 0.3, 0.5) and n < len(of) and into
 
 
+def test_registration_finds_few_true_pairs(spark, tmp_path):
+    import pandas as pd
+
+    from loomgraph.plans.kernel_queries import QUERIES
+
+    n, rng = 100, np.random.default_rng(0)
+    a, b = rng.uniform(-20, 20, (n, 3)), rng.uniform(-20, 20, (n, 3))
+    true = rng.choice(n, 8, replace=False)
+    b[true] = a[true] + [1, 2, 3]
+    nodes = [(s, str(i), p.tolist()) for s, c in (("scene0000_01", a), ("scene0000_00", b)) for i, p in enumerate(c)]
+    pd.DataFrame([{"node_key": k, "scan_id": s, "id": i, "node_position": p} for k, (s, i, p) in enumerate(nodes)]).to_parquet(tmp_path / "object_node.parquet")
+    pd.DataFrame([{"corr_id": i, "scan_id": "scene0000_01", "instance_id": i, "instance_id_in_00": i, "matched_at": None} for i in range(n)]).to_parquet(tmp_path / "matched_instance_correspondence_to_00.parquet")
+    assert kernels.ransac_fit(a, b, 0.3, 200)[0].sum() < 8
+    r = QUERIES["registration"](spark, str(tmp_path)).first()
+    assert (r["pairs"], r["agreeing"]) == (n, 8)
+
+
 def test_positions(spark):
     frames = spark.createDataFrame([("s", i * 3) for i in range(25)] + [("t", 1)], "scan string, frame int")
     got = ranking.frame_sequences(frames, "scan", "frame", 10, 5).groupBy("scan", "seq_no").agg(F.sort_array(F.collect_list("frame")).alias("f")).collect()
