@@ -323,6 +323,65 @@ def nearest(sources: Sequence[tuple[DataFrame, str, Sequence[tuple[str, str]]]],
     return ranked.select(F.element_at(F.array(*[F.lit(x) for x in names]), F.col("field") + 1).alias("field_name"), "a", "b", "cosine")
 
 
+def _best_of(k: int, dim: int):
+    """Of one cell of queries against items: the k nearest items of each query, all of them compared."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        at, x = valid_rows(cell["v"].combine_chunks(), dim)
+        ids, asks = cell["id"].to_numpy()[at], cell["ask"].to_numpy()[at]
+        q, t = (np.flatnonzero(m)[np.unique(ids[m], return_index=True)[1]] for m in (asks, ~asks))
+        u, exact = unit(x), x.astype(np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", exact, exact))
+        found = []
+        for i in range(0, len(q) if len(t) else 0, 512):
+            own = q[i : i + 512]
+            s = u[own] @ u[t].T
+            s[ids[own][:, None] == ids[t][None, :]] = -2
+            least = np.partition(s, max(0, len(t) - k), 1)[:, max(0, len(t) - k)]
+            r, c = np.nonzero((s >= least[:, None] - 1e-5) & (s > -2))  # with all that single precision cannot tell apart
+            r, c = own[r], t[c]
+            cosine = np.einsum("ij,ij->i", exact[r], exact[c]) / (norm[r] * norm[c])
+            order = np.lexsort((ids[c], -cosine, r))
+            r, c, cosine = r[order], c[order], cosine[order]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1]) if len(r) else np.zeros(0, int)
+            stay = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r)))) < k
+            found.append((ids[r[stay]], ids[c[stay]], cosine[stay]))
+        a, b, cosine = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"field": pa.array(np.full(len(a), cell["field"][0].as_py(), np.int32)), "a": pa.array(a), "b": pa.array(b), "cosine": pa.array(cosine)})
+
+    return run
+
+
+#: Items and queries of a cell of the exact search.
+CELL_ROWS = 1 << 17
+
+
+def nearest_of_some(sources: Sequence[tuple[DataFrame, str, Sequence[tuple[str, str]]]], asked: str, k: int = 10, dim: int = 64) -> DataFrame:
+    """field_name, a, b, cosine: the k most similar rows b of each row a whose `id` meets the condition asked, without threshold.
+
+    Unrelated rows have no neighbour that a forest reaches cheaply, so each asked row is compared with every row: the
+    result is exact, and the work grows with the number of asked rows times that of all rows. Cells of a grid of items by
+    queries bound what a task holds; all rows with one id meet in one cell.
+    """
+    names, cells = [], None
+    for rows, key, vectors in sources:
+        own = rows.select(F.col(key).cast("long").alias("id"), *[v for _, v in vectors]).where("id is not null")
+        n, asking = own.agg(F.count("*"), F.count_if(F.expr(asked))).first()
+        by_items, by_queries = max(-(-n // CELL_ROWS), min(12, -(-n // 4096)), 1), max(-(-asking // CELL_ROWS), 1)
+        for name, v in vectors:
+            own_field = own.where(F.size(v) == dim).select(F.lit(len(names)).alias("field"), "id", F.col(v).cast("array<float>").alias("v"))
+            names.append(name)
+            place = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+            every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+            items = own_field.select("*", F.lit(False).alias("ask"), place(by_items).alias("i"), every(by_queries).alias("q"))
+            queries = own_field.where(asked).select("*", F.lit(True).alias("ask"), every(by_items).alias("i"), place(by_queries).alias("q"))
+            both = items.unionByName(queries)
+            cells = both if cells is None else cells.unionByName(both)
+    found = cells.groupBy("field", "i", "q").applyInArrow(_best_of(k, dim), PAIRS)
+    ranked = found.withColumn("_r", F.expr("row_number() over (partition by field, a order by cosine desc, b)")).where(F.col("_r") <= k)
+    return ranked.select(F.element_at(F.array(*[F.lit(x) for x in names]), F.col("field") + 1).alias("field_name"), "a", "b", "cosine")
+
+
 def similar_pairs(near: DataFrame) -> DataFrame:
     """field_name, id_a, id_b (id_a < id_b) of which one is among the nearest of the other."""
     return near.select("field_name", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

@@ -23,13 +23,22 @@ select distinct least(a, b) as id_a, greatest(a, b) as id_b from r where rank <=
 _NEAREST = " union all ".join(_NEAR.format(field=f"{t}.{c}", table=t, key=k, col=c) for t, k, c in (("object_node", "node_key", "visual_embedding"), ("instance_info", "obs_id", "bert_embedding"), ("instance_info", "obs_id", "feature")))
 
 
-@query(_NEAREST)
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    sources = [
+def _vectors(spark: SparkSession, folder: str) -> list:
+    return [
         (table(spark, folder, "object_node"), "node_key", [("object_node.visual_embedding", "visual_embedding")]),
         (table(spark, folder, "instance_info"), "obs_id", [("instance_info.bert_embedding", "bert_embedding"), ("instance_info.feature", "feature")]),
     ]
-    return neighbours.similar_pairs(neighbours.nearest(sources, k=10, min_cosine=0.92))
+
+
+@query(_NEAREST)
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.nearest(_vectors(spark, folder), k=10, min_cosine=0.92))
+
+
+@query(_NEAREST.replace("on a.id <> b.id where list_dot_product(a.u, b.u) >= 0.92", "on a.id <> b.id where a.id % 100 = 0").replace("select distinct least(a, b) as id_a, greatest(a, b) as id_b from r", "select a as id_a, b as id_b from r"))
+def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar rows, however far, of the rows whose id is divisible by 100, among all rows."""
+    return neighbours.nearest_of_some(_vectors(spark, folder), "id % 100 = 0", k=10).select("field_name", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
 @query()

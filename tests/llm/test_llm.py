@@ -67,6 +67,19 @@ def test_top_k_without_limit(spark):
     assert neighbours.nearest([(vector_rows(spark, []), "key", [("f", "v")])], 5).count() == 0
 
 
+def test_nearest_of_some_is_exact_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
+    x = np.random.default_rng(5).normal(size=(700, 64)).astype(np.float32)
+    x[20:40] = x[20]
+    rows = [(i, v.tolist(), "c", 1) for i, v in enumerate(x)] + [(4, x[4].tolist(), "c", 1), (9000, None, "c", 1), (9002, [1.0], "c", 1), (9004, [0.0] * 64, "c", 1)]
+    got = neighbours.nearest_of_some([(vector_rows(spark, rows), "key", [("f", "v")])], "id % 4 = 0", 10).collect()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 10)
+    want = {(i, j) for i in range(0, 700, 4) for j in sorted((j for j in range(700) if j != i), key=lambda j: (-s[i, j], j))[:10]}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert neighbours.nearest_of_some([(vector_rows(spark, []), "key", [("f", "v")])], "id % 4 = 0").count() == 0
+
+
 def test_blocks_are_lossless():
     rng = np.random.default_rng(5)
     for x in (np.round(rng.normal(size=(20, 64)) * 256) / 256, rng.normal(size=(20, 64)), np.full((2, 64), 1e30)):
