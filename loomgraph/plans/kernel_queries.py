@@ -16,6 +16,7 @@ from loomgraph.operators import filters, graphs, kernels, matching
 from loomgraph.plans import pipelines
 from loomgraph.plans.registry import registry
 from loomgraph.plans.scene_queries import BASE, correspondence, matcher_rows, nodes, observations, placed_nodes
+from loomgraph.session import cut_lineage
 from loomgraph.streaming import sync
 from loomgraph.tables import table
 
@@ -110,17 +111,29 @@ def entity_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return kernels.per_group(o.select("scan_id", "frame_id", "obs_id", "feature", "object_name", "p"), ["scan_id"], run, "obs_id long, entity int, scan_id string")
 
 
-@query()
-def instance_matching(spark: SparkSession, folder: str) -> DataFrame:
-    """JN12 JN13 JN14 JN15 FL5 FL6 FN-V4: instances of rescans matched to the first scan by name, center and cloud."""
-    n = placed_nodes(spark, folder, "scan_id", "name", "visual_embedding").where("name is not null and lower(trim(name)) <> 'unknown'")
-    n = n.select(first_scan_id(F.col("scan_id")).alias("scene"), "scan_id", F.col("node_key").alias("id"), "node_id", "name", F.col("visual_embedding").alias("feature"), "x", "y", "z")
+def _matched(spark: SparkSession, folder: str, feature: str, where: str, similar: float | None = None) -> DataFrame:
+    n = placed_nodes(spark, folder, "scan_id", "name", feature).where(where)
+    n = n.select(first_scan_id(F.col("scan_id")).alias("scene"), "scan_id", F.col("node_key").alias("id"), "node_id", "name", F.col(feature).alias("feature"), "x", "y", "z")
     c = _clouds(spark, folder).withColumnRenamed("instance_id", "node_id")
     clouds = n.join(c, ["scan_id", "node_id"]).select("id", "points")
-    pairs = matching.candidates(n.where("scan_id = scene"), n.where("scan_id <> scene"), apart=3.0)
+    pairs = matching.candidates(n.where("scan_id = scene"), n.where("scan_id <> scene"), apart=3.0, similar=similar)
+    if similar is not None:
+        pairs = cut_lineage(pairs)  # they are used twice, and all near pairs of a scene are compared to find them
     return matching.best_matches(pairs, matching.overlaps(pairs, clouds, 1.0), final_gap=3.0)  # scans are not aligned here
 
 
+@query()
+def instance_matching(spark: SparkSession, folder: str) -> DataFrame:
+    """JN13 JN15 FL5 FL6 FN-V4: instances of rescans matched to the first scan by name, center and cloud."""
+    return _matched(spark, folder, "visual_embedding", "name is not null and lower(trim(name)) <> 'unknown'")
+
+
+@query()
+def embedding_matching(spark: SparkSession, folder: str) -> DataFrame:
+    """JN12 JN14 JN15 FL5 FL6 FN-V4: the same by the embedding of the name instead of the name itself, so that spellings and aliases match."""
+    return _matched(spark, folder, "text_embedding", "coalesce(lower(trim(name)), '') <> 'unknown'", 0.4)
+
+
 @query()
 def registration(spark: SparkSession, folder: str) -> DataFrame:
     """IT9 IT10 SK11: transform of each rescan onto its first scan, from the corresponding nodes, by consensus, then refined."""

@@ -202,6 +202,39 @@ def test_registration_finds_few_true_pairs(spark, tmp_path):
     assert (r["pairs"], r["agreeing"]) == (n, 8)
 
 
+def test_embedding_matching_equals_brute_force(spark, tmp_path):
+    import pandas as pd
+
+    from loomgraph.plans.kernel_queries import QUERIES
+
+    rng, kinds = np.random.default_rng(6), np.eye(64)[:4]
+    nodes, seen = [], []
+    for s, spell in (("scene0000_00", "Chair"), ("scene0000_01", "chair "), ("scene0000_02", "seat"), ("scene0001_00", "Chair")):
+        for i in range(12):
+            at = rng.uniform(-2.5, 2.5, 3)
+            e = kinds[i % 4] + rng.normal(0, 0.1, 64)
+            nodes.append({"node_key": len(nodes), "scan_id": s, "id": str(i), "name": "unknown" if i == 11 else f"{spell}{i}", "text_embedding": e.astype(np.float32).tolist() if i != 10 else None, "node_position": at.astype(np.float32).tolist()})
+            seen += [(s, i, at + rng.normal(0, 0.3, 3)) for _ in range(4)]
+    pd.DataFrame(nodes).to_parquet(tmp_path / "object_node.parquet")
+    pd.DataFrame([{"obs_id": k, "scan_id": s, "instance_id": i, "center": dict(zip("xyz", p.tolist()))} for k, (s, i, p) in enumerate(seen)]).to_parquet(tmp_path / "instance_info.parquet")
+    cloud = lambda n: np.array([p for s, i, p in seen if (s, str(i)) == (n["scan_id"], n["id"])])
+    want = {}
+    for b in nodes:
+        found = []
+        for a in nodes:
+            if a["scan_id"] != "scene0000_00" or b["scan_id"] not in ("scene0000_01", "scene0000_02") or "unknown" in (a["name"], b["name"]) or not (a["text_embedding"] and b["text_embedding"]):
+                continue
+            f, g = np.array(a["text_embedding"]), np.array(b["text_embedding"])
+            gap, sim = np.linalg.norm(np.subtract(a["node_position"], b["node_position"])), f @ g / np.linalg.norm(f) / np.linalg.norm(g)
+            ratio, iou, apart = kernels.overlap_score(cloud(a), cloud(b), 1.0)
+            if gap < 3 and sim >= 0.4 and kernels.accepted(ratio, iou):
+                found.append((-kernels.match_score(ratio, sim, iou, apart), a["node_key"]))
+        if found:
+            want[b["node_key"]] = (min(found)[1], round(-min(found)[0], 6))
+    got = {r["b"]: (r["a"], round(r["score"], 6)) for r in QUERIES["embedding_matching"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) >= 5
+
+
 def test_positions(spark):
     frames = spark.createDataFrame([("s", i * 3) for i in range(25)] + [("t", 1)], "scan string, frame int")
     got = ranking.frame_sequences(frames, "scan", "frame", 10, 5).groupBy("scan", "seq_no").agg(F.sort_array(F.collect_list("frame")).alias("f")).collect()
