@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import compaction, drift, orphans
 from loomgraph.plans.registry import registry
+from loomgraph.session import shared_folder
 from loomgraph.tables import table
 
 QUERIES, SQL, query = registry()
 
+#: Values of a vector in the files.
+VALUES = 12
+
 _SPELLED = " ".join(f"when lower(regexp_replace(key, '[^A-Za-z0-9]', '', 'g')) = '{s}' then '{f}'" for s, f in drift.DriftRules().spelling_map().items())
 _CHANGES = f"""
 with recs as (select distinct raw_id, series, file_no, file_name, payload from matcher_raw where json_valid(payload) and json_type(payload) = 'OBJECT'),
@@ -43,27 +47,55 @@ def p1_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.ingest(table(spark, folder, "matcher_raw"))
 
 
-_RECORDS = r"""
+_READ = r"""
 with f as (select distinct file_id, file_path, coalesce(file_content, '') as c, case when json_valid(file_content) then file_content end as j from feature_file),
-l as (select file_path, list_filter(string_split(replace(c, chr(13), ''), chr(10)), lambda x: length(trim(x)) > 0) as ls from f where j is null),
-v as (select file_path, unnest(list_transform(ls, lambda x: case when json_valid(x) then x end)) as j from l
-  where len(ls) > 0 and list_bool_and(list_transform(ls, lambda x: json_valid(x) and coalesce(json_type(case when json_valid(x) then x end), '') = 'OBJECT'))),
+l as (select file_id, file_path, list_filter(string_split(replace(c, chr(13), ''), chr(10)), lambda x: length(trim(x)) > 0) as ls from f where j is null),
+g as (select file_id, file_path, ls, list_bool_and(list_transform(ls, lambda x: json_valid(x) and coalesce(json_type(case when json_valid(x) then x end), '') = 'OBJECT')) as good from l),
+"""
+_RECORDS = (
+    _READ
+    + r"""v as (select file_path, unnest(list_transform(ls, lambda x: case when json_valid(x) then x end)) as j from g where len(ls) > 0 and good),
 docs as (select file_path, j from f where j is not null union all select file_path, j from v),
 ids as (select file_path, unnest(json_extract(j, '$[*]'))->>'instance_id' as i from docs where json_type(j) = 'ARRAY'
   union all select file_path, j->>'instance_id' from docs where json_type(j) = 'OBJECT' and json_exists(j, '$.instance_id')
-  union all select file_path, unnest(json_keys(j)) from docs where json_type(j) = 'OBJECT' and not json_exists(j, '$.instance_id'))
-select distinct regexp_extract(file_path, 'scene\d+_\d+') as scan_id, regexp_extract(file_path, '(\d+)_[^/]*$', 1)::int as frame_id, i::int as instance_id from ids
+  union all select file_path, unnest(json_keys(j)) from docs where json_type(j) = 'OBJECT' and not json_exists(j, '$.instance_id')),
+recs as (select distinct regexp_extract(file_path, 'scene\d+_\d+') as scan_id, regexp_extract(file_path, '(\d+)_[^/]*$', 1)::bigint as frame_id, i::bigint as instance_id from ids)
 """
+)
 
 
-@query(_RECORDS)
+def _rewritten(spark: SparkSession, folder: str, target_bytes: int = compaction.TARGET_BYTES) -> DataFrame:
+    target = shared_folder(spark, "compacted")
+    compaction.write_compacted(table(spark, folder, "feature_file"), target, target_bytes)
+    return compaction.read_compacted(spark, target)
+
+
+@query(_RECORDS + "select scan_id, frame_id, instance_id from recs")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return compaction.compact(table(spark, folder, "feature_file")).select("scan_id", "frame_id", "instance_id")
+    """The records as they stand in the rewritten and reconciled files."""
+    return _rewritten(spark, folder).select("scan_id", "frame_id", "instance_id")
 
 
-@query()
+@query(
+    _RECORDS
+    + f""", sized as (select *, 32 + 4 * {VALUES} as bytes from recs),
+run as (select *, sum(bytes) over (order by scan_id, frame_id, instance_id rows unbounded preceding) - bytes as before from sized)
+select (before // {compaction.TARGET_BYTES})::bigint as group_no, count(*) as records, sum(bytes)::bigint as bytes, min(scan_id) as first_scan, max(scan_id) as last_scan from run group by 1"""
+)
 def p5_files(spark: SparkSession, folder: str) -> DataFrame:
-    return compaction.group_report(compaction.compact(table(spark, folder, "feature_file"), target_bytes=1024 * 1024))
+    """One row per file of the target, as read back."""
+    return compaction.group_report(_rewritten(spark, folder))
+
+
+@query(
+    _READ
+    + r"""b as (select file_id, file_path, j is null and len(ls) > 0 and not good as broken from f left join g using (file_id, file_path))
+select file_id, case when broken then 'broken' else 'no_place' end as reason from b
+where broken or not regexp_matches(coalesce(file_path, ''), '(?i)scene[\s_-]*\d+[\s_-]+\d+') or not regexp_matches(coalesce(file_path, ''), '(\d+)_[^/]*$')"""
+)
+def p5_unread(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that give no record because they are broken or lie in no scan's place."""
+    return compaction.unread_files(table(spark, folder, "feature_file"))
 
 
 _REFS = r"""

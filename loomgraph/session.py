@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +27,44 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's own setting, else (in tests only) a local one."""
+    """The folder that all executors share, as the session names it in `spark.checkpoint.dir`.
+
+    Unset, a local session (whose machine is the whole cluster, as in tests) gets a folder of its own that is deleted at the
+    end; on a cluster it is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     if current:
         return current
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-")
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        wanted = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     context.setCheckpointDir(wanted)
     return wanted
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place within the shared folder, for a table that a query writes."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """source takes the place of target, on whatever file system holds them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = f"{target}.old-{uuid.uuid4().hex}"
+    replaced = fs.exists(path(target)) and fs.rename(path(target), path(old))
+    if not fs.rename(path(source), path(target)):
+        if replaced:
+            fs.rename(path(old), path(target))
+        raise RuntimeError(f"{source} could not be moved to {target}")
+    if replaced:
+        fs.delete(path(old), True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the shared folder, so that a lost executor loses nothing."""
     checkpoint_dir(df.sparkSession)

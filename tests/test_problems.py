@@ -134,3 +134,35 @@ def test_filter_has_no_false_negative(spark):
     got = orphans.probe(refs, parents, ["_scan", "_instance"]).groupBy((F.col("_instance") >= 1_000_000).alias("absent"), "_maybe").count().collect()
     n = {(r["absent"], r["_maybe"]): r["count"] for r in got}
     assert (False, False) not in n and n.get((True, True), 0) < 600
+
+
+def test_long_ids_and_unread_files(spark):
+    at = "scene0001_00/refined_instance/1_instance.json"
+    rows = [(1, at, '{"3000000000": [0.5], "5": [0.5], "6.0": [1]}'), (2, at, '[{"instance_id": 7.0, "feature": [1]}, {"instance_id": "8.5"}]'), (3, "elsewhere.json", '{"1": [0.5]}'), (4, at, "[1"), (5, None, "[]")]
+    files = feature_files(spark, rows)
+    assert {r["instance_id"] for r in compaction.compact(files).collect()} == {3000000000, 5, 7}
+    assert {tuple(r) for r in compaction.unread_files(files).collect()} == {(3, "no_place"), (4, "broken"), (5, "no_place")}
+
+
+def test_rewrite_takes_the_place_of_the_old_target(spark, tmp_path):
+    target = str(tmp_path / "out")
+    one = [(1, "scene0001_00/refined_instance/1_instance.json", '{"1": [0.5], "2": null}')]
+    assert compaction.write_compacted(feature_files(spark, one), target) == 2
+    assert compaction.write_compacted(feature_files(spark, one * 2 + [(2, "scene0001_00/refined_instance/2_instance.json", '{"1": [0.5]}')]), target) == 3
+    assert compaction.read_compacted(spark, target).count() == 3
+    assert compaction.write_compacted(feature_files(spark, []), target) == 0
+    assert compaction.read_compacted(spark, target).count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_lost_or_repeated_records_are_noticed(spark):
+    rows = spark.createDataFrame([("s", 1, 1, [0.5]), ("s", 1, 2, [0.5]), ("s", 1, 3, None)], "scan_id string, frame_id long, instance_id long, feature array<float>")
+    want = compaction._totals(rows)
+    assert want != compaction._totals(rows.where("instance_id <> 3").union(rows.where("instance_id = 2")))
+    assert want == compaction._totals(rows.orderBy("instance_id", ascending=False))
+
+
+def test_window_sums_stand_in_the_plan(spark):
+    rows = [(i, f"scene0001_00/refined_instance/{i}_instance.json", '{"1": [0.5], "2": [0.5]}') for i in range(30)]
+    plan = compaction.compact(feature_files(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "parse_json" not in plan
