@@ -59,7 +59,7 @@ def _whole(text: Column) -> Column:
 
 def read_records(files: DataFrame) -> DataFrame:
     """Every record of every readable file, copies included: scan_id, frame_id, instance_id, feature and where it is from."""
-    docs = parse_files(files).select("file_id", scan_id(F.col("file_path")).alias("scan_id"), _frame(F.col("file_path")).alias("frame_id"), F.col("file_path").rlike(ORIGINAL_PATH).alias("original"), "modified_at", F.explode("_docs").alias("_doc"))
+    docs = parse_files(files).select("file_id", scan_id(F.col("file_path")).alias("scan_id"), _frame(F.col("file_path")).alias("frame_id"), F.col("file_path").rlike(ORIGINAL_PATH).alias("original"), "modified_at", F.explode_outer("_docs").alias("_doc"))  # the inner form would filter first and parse for that as well
     parts = files.sparkSession.sql("select d.file_id, d.scan_id, d.frame_id, d.original, d.modified_at, d._doc, e.key as _key, e.value as _value from {docs} d, lateral variant_explode(d._doc) e", docs=docs)
     element = F.col("_key").isNull()
     own = F.col("_key") == "instance_id"
