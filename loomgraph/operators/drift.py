@@ -2,12 +2,16 @@
 
 Rescue-column ingestion. Every payload is parsed once to a variant. Values that fit the target column are promoted from
 any approved spelling; what is unknown or does not fit is kept as JSON in the rescue column; replay then turns the
-rescued forms that are approved (texts that hold arrays, flat arrays, objects, whole numbers) into typed columns.
+rescued forms that are approved (texts that hold arrays, flat arrays, objects) into typed columns. The ingested rows are
+written to the shared folder with the shape of each record (spelling, field and kind of its keys). All reports read that
+table: shapes are counted per file first, so what is compared between files is a few rows per file. Whether the whole
+numbers of a vector are quantised is decided per file from the same table, and recorded.
 
 Defined cases. Null, unreadable and non-object payloads give a row with null columns and `_readable` false; they say
 nothing about a file's fields. Repeated keys count once. A key with a null is present but has no type, nor has an empty
-array. A file without any readable object, or without a preceding file, is compared with nothing. Columns of the input
-other than those named are ignored. An empty table gives an empty one.
+array. A file without any readable object, or without a preceding file, is compared with nothing; one whose objects hold
+no known field is compared. A fraction in a whole-number column is rescued unless it is whole, as is a number that the
+column cannot hold. Columns of the input other than those named are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.strict_json import json_kind, strict_json
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, shared_folder
 
 #: The target columns, their types, and every approved spelling.
 MATCHER_FIELDS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -57,53 +61,14 @@ def fold(spelling: str) -> str:
 def field_of(key: Column, rules: DriftRules) -> Column:
     """Field that a key spells in any letter case and with any separators, or null."""
     pairs = [F.lit(x) for pair in rules.spelling_map().items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_replace(key, "[^A-Za-z0-9]", "")))
+    return F.when(key.isin(*rules.fields), key).otherwise(F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_replace(key, "[^A-Za-z0-9]", ""))))
 
 
 def parse(raw: DataFrame, key: str = "raw_id", payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """Rows by distinct key with `_v`, the payload as a variant where it is a JSON object."""
     one = raw.select(key, *keep, payload).dropDuplicates([key])
     is_object = F.col(payload).rlike(r"^\s*\{")
-    return one.withColumn("_v", F.when(is_object, strict_json(F.col(payload))))
-
-
-def observations(parsed: DataFrame, rules: DriftRules, keep: Sequence[str]) -> DataFrame:
-    """One row for every key of every readable record: the columns of keep, `spelling`, `value`, `field` (null if unknown), `kind` (null if without type), `_schema`."""
-    cols = ", ".join(f"p.`{c}`" for c in keep)
-    out = parsed.sparkSession.sql(f"select {cols}, e.key as spelling, e.value, schema_of_variant(e.value) as _schema from {{p}} p, lateral variant_explode(p._v) e", p=parsed.where("_v is not null"))
-    return out.withColumns({"field": field_of(F.col("spelling"), rules), "kind": json_kind(F.col("_schema"))})
-
-
-def file_profiles(raw: DataFrame, rules: DriftRules = DriftRules()) -> DataFrame:
-    """series, file_no, file_name, field, spellings, kinds: what the readable records of a file hold of a field."""
-    keep = ["series", "file_no", "file_name"]
-    seen = observations(parse(raw, keep=keep), rules, keep).where("field is not null")
-    return seen.groupBy(*keep, "field").agg(F.sort_array(F.collect_set("spelling")).alias("spellings"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-
-
-def schema_changes(raw: DataFrame, rules: DriftRules = DriftRules()) -> DataFrame:
-    """file_name, field_name, change_kind for every field of a file that differs from the preceding file of its series.
-
-    Files are compared pairwise by equi-joins on (series, file number, field), so a series of any length is spread over
-    all tasks.
-    """
-    own = cut_lineage(file_profiles(raw, rules))  # a few rows per file, read four times below
-    files = own.groupBy("series", "file_no").agg(F.min("file_name").alias("file_name"))
-    pairs = files.join(files.select("series", (F.col("file_no") + 1).alias("file_no")), ["series", "file_no"])
-    now = own.select("series", "file_no", "field", F.col("spellings").alias("s1"), F.col("kinds").alias("k1"))
-    old = own.select("series", (F.col("file_no") + 1).alias("file_no"), "field", F.col("spellings").alias("s0"), F.col("kinds").alias("k0"))
-    both = now.join(old, ["series", "file_no", "field"], "full").join(pairs, ["series", "file_no"])
-    known = F.col("s0").isNotNull() & F.col("s1").isNotNull()
-    changes = F.filter(
-        F.array(
-            F.when(F.col("s0").isNull(), "added"),
-            F.when(F.col("s1").isNull(), "removed"),
-            F.when(known & (F.col("s0") != F.col("s1")), "renamed"),
-            F.when(known & (F.size("k0") > 0) & (F.size("k1") > 0) & (F.col("k0") != F.col("k1")), "type_changed"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return both.select("file_name", F.col("field").alias("field_name"), F.explode(changes).alias("change_kind"))
+    return one.withColumn("_v", F.when(is_object, strict_json(F.col(payload)))).drop(payload)
 
 
 def _boxes(v: Column, rules: DriftRules) -> Column:
@@ -124,61 +89,135 @@ def _text_rows(text: Column) -> Column:
     return F.when(~F.exists(F.flatten(rows), lambda x: x.isNull()), rows)
 
 
-def _by_type(target: str, rules: DriftRules) -> tuple[Column, Column]:
-    """Of the columns value, field, kind and _schema: (value that fits the target as it is, value replayed from a rescued form)."""
-    v, kind = F.col("value"), F.col("kind")
+def _by_type(target: str, rules: DriftRules, e: Column) -> tuple[Column, Column]:
+    """Of an entry (value, kind, schema): (value that fits the target as it is, value replayed from a rescued form)."""
+    v, kind = e["value"], e["kind"]
     text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-    nothing = F.lit(None).cast(target)
     if target == "array<array<double>>":
-        matrix = F.try_variant_get(v, "$", target)
-        scaled = F.transform(matrix, lambda r: F.transform(r, lambda x: x * F.lit(rules.integer_scale)))
-        fits = F.when(kind == "ARRAY<ARRAY<FRACTION>>", matrix).when(kind == "ARRAY<ARRAY<WHOLE>>", F.when(F.col("field").isin(*rules.vectors), scaled).otherwise(matrix))
-        own = F.coalesce(fits, F.when(F.col("_schema").rlike(r"^(ARRAY<)+VOID>+$"), F.expr("array()").cast(target)))
+        fits = F.when(kind.isin("ARRAY<ARRAY<FRACTION>>", "ARRAY<ARRAY<WHOLE>>"), F.try_variant_get(v, "$", target))
+        own = F.coalesce(fits, F.when(e["schema"].rlike(r"^(ARRAY<)+VOID>+$"), F.expr("array()").cast(target)))
         flat = F.when(kind.isin("ARRAY<FRACTION>", "ARRAY<WHOLE>"), F.try_variant_get(v, "$", "array<double>"))
         again = F.when(text.rlike(r"^\s*\["), F.try_variant_get(strict_json(text), "$", target)).otherwise(_text_rows(text))
-        return own, F.coalesce(again, F.when(kind.startswith("ARRAY<OBJECT"), _boxes(v, rules)), _rows(flat, len(rules.box_keys)))
+        return own, F.when(kind == "STRING", again).when(kind.startswith("ARRAY<OBJECT"), _boxes(v, rules)).otherwise(_rows(flat, len(rules.box_keys)))
     if target == "int":
-        return F.when(kind == "WHOLE", F.try_variant_get(v, "$", "int")), F.coalesce(F.trim(text).try_cast("int"), F.when(kind == "FRACTION", F.try_variant_get(v, "$", "double").try_cast("int")))
+        number = F.when(kind == "FRACTION", F.try_variant_get(v, "$", "double"))
+        return F.when(kind == "WHOLE", F.try_variant_get(v, "$", "int")), F.coalesce(F.trim(text).try_cast("int"), F.when(number == F.floor(number), number.try_cast("int")))
     if target == "double":
         return F.when(kind.isin("WHOLE", "FRACTION"), F.try_variant_get(v, "$", "double")), F.trim(text).try_cast("double")
     if target == "string":
         return text, F.when(kind.isNotNull() & (kind != "STRING"), F.to_json(v))
-    return F.when(kind.isNotNull() & kind.startswith("ARRAY<"), F.try_variant_get(v, "$", target)), nothing
+    return F.when(kind.isNotNull() & kind.startswith("ARRAY<"), F.try_variant_get(v, "$", target)), F.lit(None).cast(target)
 
 
-def ingest(raw: DataFrame, rules: DriftRules = DriftRules(), keep: Sequence[str] = ("series", "file_name", "file_no", "line_no", "written_at")) -> DataFrame:
-    """One row for every record with all target columns typed.
+KEEP = ("series", "file_name", "file_no", "line_no", "written_at")
 
-    `_readable`: the payload is a JSON object. `_rescued`: JSON object of the keys that are unknown or whose value fits
-    no column even after replay, else null. `_replayed`: the fields whose value came from a rescued form. Where a record
-    holds several spellings of one field, a value that fits comes before a replayed one, then the smaller spelling.
-    """
+
+def typed_records(raw: DataFrame, rules: DriftRules = DriftRules(), keep: Sequence[str] = KEEP) -> DataFrame:
+    """One row for every record: the target columns, `_readable`, `_rescued`, `_replayed`, `_shape` (spelling, field, kind of every key), `_peaks` (per field of rules.vectors the largest whole number, -1 for fractions)."""
     parsed = parse(raw, keep=list(keep))
-    seen = observations(parsed, rules, ["raw_id"])
-    targets = sorted({t for t, _ in rules.fields.values()})
-    own = {t: _by_type(t, rules) for t in targets}
-    of = {t: F.col("field").isin(*[n for n, (x, _) in rules.fields.items() if x == t]) for t in targets}
-    typed = seen.select(
+    keyed = parsed.withColumn("_keyed", F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>")))
+    # one entry per key; each stage is a column of its own, so that no later one computes it again
+    schemas = keyed.withColumn("_seen", F.transform("_keyed", lambda e: F.struct(e["key"].alias("spelling"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("schema"))))
+    kinds = schemas.withColumn("_e", F.transform("_seen", lambda e: F.struct(e["spelling"].alias("spelling"), e["value"].alias("value"), e["schema"].alias("schema"), field_of(e["spelling"], rules).alias("field"), json_kind(e["schema"]).alias("kind"))))
+
+    def ranked(name: str, target: str) -> Column:
+        """Of each spelling of a field: 0 fits, 1 replayed, 2 nothing fits, 3 null; the spelling; the value."""
+
+        def rank(e: Column) -> Column:
+            own, again = _by_type(target, rules, e)
+            return F.transform(F.array(F.struct(own.alias("own"), F.when(own.isNull(), again).alias("again"))), lambda t: F.struct(F.when(t["own"].isNotNull(), 0).when(t["again"].isNotNull(), 1).when(e["kind"].isNotNull(), 2).otherwise(3).alias("rank"), e["spelling"].alias("spelling"), F.coalesce(t["own"], t["again"]).alias("value")))[0]
+
+        return F.transform(F.filter("_e", lambda e: e["field"] == name), rank)
+
+    of = kinds.withColumns({f"_r_{n}": ranked(n, t) for n, (t, _) in rules.fields.items()})
+    of = of.withColumns({f"_b_{n}": F.array_min(f"_r_{n}") for n in rules.fields})
+    bad = F.flatten(F.array(*[F.transform(F.filter(f"_r_{n}", lambda r: r["rank"] == 2), lambda r: r["spelling"]) for n in rules.fields]))
+    replayed = F.array_compact(F.array(*[F.when(F.exists(f"_r_{n}", lambda r: r["rank"] == 1), F.lit(n)) for n in sorted(rules.fields)]))
+    out = of.withColumn("_bad", F.coalesce(bad, F.expr("cast(array() as array<string>)")))
+    rest = F.filter("_e", lambda e: e["field"].isNull() | F.array_contains("_bad", e["spelling"]))
+    rescued = F.when(F.size(rest) > 0, F.to_json(F.map_from_entries(F.transform(rest, lambda e: F.struct(e["spelling"], e["value"])))))
+    largest = lambda m: F.aggregate(F.flatten(m), F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+
+    def peak(name: str) -> Column:
+        of = lambda e: F.when(e["kind"] == "ARRAY<ARRAY<WHOLE>>", largest(F.try_variant_get(e["value"], "$", "array<array<double>>"))).when(e["kind"].contains("FRACTION"), -1.0)
+        return F.array_max(F.transform(F.filter("_e", lambda e: e["field"] == name), of))
+
+    return out.select(
         "raw_id",
-        "field",
-        "spelling",
-        "value",
-        "kind",
-        *[F.when(of[t], own[t][0]).alias(f"_own{i}") for i, t in enumerate(targets)],
-        *[F.when(of[t], own[t][1]).alias(f"_again{i}") for i, t in enumerate(targets)],
+        *keep,
+        F.col("_v").isNotNull().alias("_readable"),
+        *[F.when(F.col(f"_b_{n}.rank") < 2, F.col(f"_b_{n}.value")).cast(t).alias(n) for n, (t, _) in rules.fields.items()],
+        rescued.alias("_rescued"),
+        replayed.alias("_replayed"),
+        F.transform("_e", lambda e: F.struct(e["spelling"].alias("spelling"), e["field"].alias("field"), e["kind"].alias("kind"))).alias("_shape"),
+        F.struct(F.lit(0).alias("_"), *[peak(n).alias(n) for n in rules.vectors]).alias("_peaks"),
     )
-    fits = F.lit(False)
-    again = F.lit(False)
-    for i in range(len(targets)):
-        fits, again = fits | F.col(f"_own{i}").isNotNull(), again | F.col(f"_again{i}").isNotNull()
-    typed = typed.withColumns({"_fits": fits, "_replay": ~fits & again})
-    rest = (F.col("field").isNull() | F.col("kind").isNotNull()) & ~F.col("_fits") & ~F.col("_replay")
-    rank = F.struct(F.when(F.col("_fits"), 0).when(F.col("_replay"), 1).otherwise(2), F.col("spelling"))
-    values = [F.min_by(F.coalesce(f"_own{i}", f"_again{i}"), F.when((F.col("field") == n) & (F.col("_fits") | F.col("_replay")), rank)).alias(n) for n, (t, _) in rules.fields.items() for i in [targets.index(t)]]
-    records = typed.groupBy("raw_id").agg(
-        *values,
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.when(rest, F.struct("spelling", F.to_json("value").alias("json"))))))).alias("_rescued"),
-        F.sort_array(F.collect_set(F.when(F.col("_replay"), F.col("field")))).alias("_replayed"),
+
+
+def quantised_files(records: DataFrame, rules: DriftRules = DriftRules()) -> DataFrame:
+    """series, file_no, fields: the vector fields whose numbers are whole in all records of a file, and beyond -1 to 1 in one."""
+    whole = [F.when((F.min(f"_peaks.{n}") >= 0) & (F.max(f"_peaks.{n}") > 1), F.lit(n)) for n in rules.vectors]
+    return records.groupBy("series", "file_no").agg(F.array_compact(F.array(*whole)).alias("_quantised")).where(F.size("_quantised") > 0)
+
+
+#: Files up to this number are broadcast when their quantisation is joined to the records.
+BROADCAST_FILES = 100_000
+
+
+def ingest(raw: DataFrame, rules: DriftRules = DriftRules(), keep: Sequence[str] = KEEP) -> DataFrame:
+    """One row for every record with all target columns typed, as a table written to the shared folder.
+
+    `_readable`: the payload is a JSON object. `_rescued`: JSON object of the keys that are unknown or whose value fits
+    no column even after replay, else null. `_replayed`: the fields whose value came from a rescued form, those of
+    quantised files among them. `_shape`: spelling, field and kind of every key. Where a record holds several spellings
+    of one field, a value that fits comes before a replayed one, then the smaller spelling.
+    """
+    spark = raw.sparkSession
+    target = shared_folder(spark, "ingested")
+    typed = typed_records(raw, rules, keep)
+    typed.write.parquet(target)
+    records = spark.read.schema(typed.schema).parquet(target)
+    if not rules.vectors:
+        return records.drop("_peaks")
+    files = cut_lineage(quantised_files(records, rules))  # at most a row per file
+    small = files.count() <= BROADCAST_FILES
+    joined = records.join(F.broadcast(files) if small else files, ["series", "file_no"], "left")
+    quantised = lambda n: F.coalesce(F.array_contains("_quantised", n), F.lit(False)) & (F.col(f"_peaks.{n}") >= 0) & ~F.array_contains("_replayed", n)
+    scaled = {n: F.when(quantised(n), F.transform(n, lambda r: F.transform(r, lambda x: x * F.lit(rules.integer_scale)))).otherwise(F.col(n)) for n in rules.vectors}
+    again = F.array_sort(F.concat("_replayed", F.array_compact(F.array(*[F.when(quantised(n), F.lit(n)) for n in rules.vectors]))))
+    return joined.withColumns({**scaled, "_replayed": again}).select("raw_id", *keep, "_readable", *rules.fields, "_rescued", "_replayed", "_shape")
+
+
+def file_profiles(records: DataFrame, unknown: bool = False) -> DataFrame:
+    """series, file_no, file_name, field, spellings, kinds: what the readable records of a file hold of a field, one row with a null field where a file holds none. records: an ingested table. unknown: of the keys that no field approves, under their spelling."""
+    shapes = records.where("_readable").groupBy("series", "file_no", "file_name", "_shape").agg(F.lit(1)).drop("1")
+    own = F.filter("_shape", lambda e: e["field"].isNull() if unknown else e["field"].isNotNull())
+    keys = shapes.select("series", "file_no", "file_name", F.explode_outer(own).alias("e"))
+    seen = keys.select("series", "file_no", "file_name", (F.col("e.spelling") if unknown else F.col("e.field")).alias("field"), "e.spelling", "e.kind")
+    return seen.groupBy("series", "file_no", "file_name", "field").agg(F.sort_array(F.collect_set("spelling")).alias("spellings"), F.sort_array(F.collect_set("kind")).alias("kinds"))
+
+
+def schema_changes(records: DataFrame, unknown: bool = False) -> DataFrame:
+    """file_name, field_name, change_kind for every field of a file that differs from the preceding file of its series. records: an ingested table.
+
+    Files are compared pairwise by equi-joins on (series, file number, field), so a series of any length is spread over
+    all tasks.
+    """
+    every = cut_lineage(file_profiles(records, unknown))  # a few rows per file, read four times below
+    own = every.where("field is not null")
+    files = every.groupBy("series", "file_no").agg(F.min("file_name").alias("file_name"))
+    pairs = files.join(files.select("series", (F.col("file_no") + 1).alias("file_no")), ["series", "file_no"])
+    now = own.select("series", "file_no", "field", F.col("spellings").alias("s1"), F.col("kinds").alias("k1"))
+    old = own.select("series", (F.col("file_no") + 1).alias("file_no"), "field", F.col("spellings").alias("s0"), F.col("kinds").alias("k0"))
+    both = now.join(old, ["series", "file_no", "field"], "full").join(pairs, ["series", "file_no"])
+    known = F.col("s0").isNotNull() & F.col("s1").isNotNull()
+    changes = F.filter(
+        F.array(
+            F.when(F.col("s0").isNull(), "added"),
+            F.when(F.col("s1").isNull(), "removed"),
+            F.when(known & (F.col("s0") != F.col("s1")), "renamed"),
+            F.when(known & (F.size("k0") > 0) & (F.size("k1") > 0) & (F.col("k0") != F.col("k1")), "type_changed"),
+        ),
+        lambda x: x.isNotNull(),
     )
-    out = parsed.select("raw_id", *keep, F.col("_v").isNotNull().alias("_readable")).join(records, "raw_id", "left")
-    return out.withColumn("_rescued", F.nullif("_rescued", F.lit("{}")))
+    return both.select("file_name", F.col("field").alias("field_name"), F.explode(changes).alias("change_kind"))

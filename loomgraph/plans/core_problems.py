@@ -39,7 +39,7 @@ union all select file_name, field, 'type_changed' from cmp where s0 is not null
 
 @query(_CHANGES)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.schema_changes(table(spark, folder, "matcher_raw"))
+    return drift.schema_changes(drift.ingest(table(spark, folder, "matcher_raw")))
 
 
 @query()

@@ -16,7 +16,7 @@ def raw(spark, rows):
 
 
 def changes(spark, rows):
-    return {tuple(r) for r in drift.schema_changes(raw(spark, rows)).collect()}
+    return {tuple(r) for r in drift.schema_changes(drift.ingest(raw(spark, rows))).collect()}
 
 
 def test_changes_between_files(spark):
