@@ -121,27 +121,24 @@ def typed_records(raw: DataFrame, rules: DriftRules = DriftRules(), keep: Sequen
     kinds = schemas.withColumn("_e", F.transform("_seen", lambda e: F.struct(e["spelling"].alias("spelling"), e["value"].alias("value"), e["schema"].alias("schema"), field_of(e["spelling"], rules).alias("field"), json_kind(e["schema"]).alias("kind"))))
 
     def ranked(name: str, target: str) -> Column:
-        """Of each spelling of a field: 0 fits, 1 replayed, 2 nothing fits, 3 null; the spelling; the value."""
+        """Of each spelling of a field: 0 fits, 1 replayed, 2 nothing fits, 3 null; the spelling, the value, its kind."""
 
         def rank(e: Column) -> Column:
             own, again = _by_type(target, rules, e)
-            return F.transform(F.array(F.struct(own.alias("own"), F.when(own.isNull(), again).alias("again"))), lambda t: F.struct(F.when(t["own"].isNotNull(), 0).when(t["again"].isNotNull(), 1).when(e["kind"].isNotNull(), 2).otherwise(3).alias("rank"), e["spelling"].alias("spelling"), F.coalesce(t["own"], t["again"]).alias("value")))[0]
+            return F.transform(F.array(F.struct(own.alias("own"), F.when(own.isNull(), again).alias("again"))), lambda t: F.struct(F.when(t["own"].isNotNull(), 0).when(t["again"].isNotNull(), 1).when(e["kind"].isNotNull(), 2).otherwise(3).alias("rank"), e["spelling"].alias("spelling"), F.coalesce(t["own"], t["again"]).alias("value"), e["kind"].alias("kind")))[0]
 
         return F.transform(F.filter("_e", lambda e: e["field"] == name), rank)
 
     of = kinds.withColumns({f"_r_{n}": ranked(n, t) for n, (t, _) in rules.fields.items()})
     of = of.withColumns({f"_b_{n}": F.array_min(f"_r_{n}") for n in rules.fields})
-    bad = F.flatten(F.array(*[F.transform(F.filter(f"_r_{n}", lambda r: r["rank"] == 2), lambda r: r["spelling"]) for n in rules.fields]))
-    replayed = F.array_compact(F.array(*[F.when(F.exists(f"_r_{n}", lambda r: r["rank"] == 1), F.lit(n)) for n in sorted(rules.fields)]))
+    wrong = lambda n: F.transform(F.filter(f"_r_{n}", lambda r: r["rank"] == 2), lambda r: r["spelling"])
+    bad = F.flatten(F.array(*[F.when(F.size(f"_r_{n}") > 1, wrong(n)).when(F.col(f"_b_{n}.rank") == 2, F.array(f"_b_{n}.spelling")).otherwise(F.expr("cast(array() as array<string>)")) for n in rules.fields]))
+    replayed = F.array_compact(F.array(*[F.when(F.col(f"_b_{n}.rank") == 1, F.lit(n)) for n in sorted(rules.fields)]))
     out = of.withColumn("_bad", F.coalesce(bad, F.expr("cast(array() as array<string>)")))
     rest = F.filter("_e", lambda e: e["field"].isNull() | F.array_contains("_bad", e["spelling"]))
     rescued = F.when(F.size(rest) > 0, F.to_json(F.map_from_entries(F.transform(rest, lambda e: F.struct(e["spelling"], e["value"])))))
     largest = lambda m: F.aggregate(F.flatten(m), F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-
-    def peak(name: str) -> Column:
-        of = lambda e: F.when(e["kind"] == "ARRAY<ARRAY<WHOLE>>", largest(F.try_variant_get(e["value"], "$", "array<array<double>>"))).when(e["kind"].contains("FRACTION"), -1.0)
-        return F.array_max(F.transform(F.filter("_e", lambda e: e["field"] == name), of))
-
+    peak = lambda n: F.when(F.col(f"_b_{n}.kind") == "ARRAY<ARRAY<WHOLE>>", largest(F.col(f"_b_{n}.value"))).when(F.col(f"_b_{n}.kind").contains("FRACTION"), -1.0)
     return out.select(
         "raw_id",
         *keep,

@@ -16,15 +16,15 @@ QUERIES, SQL, query = registry()
 VALUES = 12
 
 _SPELLED = " ".join(f"when lower(regexp_replace(key, '[^A-Za-z0-9]', '', 'g')) = '{s}' then '{f}'" for s, f in drift.DriftRules().spelling_map().items())
-_CHANGES = f"""
+_CHANGES_OF = """
 with recs as (select distinct raw_id, series, file_no, file_name, payload from matcher_raw where json_valid(payload) and json_type(payload) = 'OBJECT'),
 keyed as (select series, file_no, file_name, unnest(json_keys(payload)) as key, payload from recs),
 vals as (select series, file_no, file_name, key, json_extract(payload, '$."' || key || '"') as v from keyed),
-typed as (select *, case {_SPELLED} end as field,
+typed as (select *, {field} as field,
   nullif(nullif(nullif(regexp_replace(json_structure(v)::varchar, 'UBIGINT|BIGINT|HUGEINT', 'WHOLE', 'g'), '"NULL"'), '["NULL"]'), '[["NULL"]]') as kind from vals),
 prof as (select series, file_no, min(file_name) as file_name, field, string_agg(distinct key, ',' order by key) as sp, string_agg(distinct kind, ',' order by kind) as ki
   from typed where field is not null group by series, file_no, field),
-files as (select series, file_no, min(file_name) as file_name from prof group by series, file_no),
+files as (select series, file_no, min(file_name) as file_name from recs group by series, file_no),
 pairs as (select f.series, f.file_no, f.file_name from files f join files g on f.series = g.series and f.file_no = g.file_no + 1),
 fields as (select distinct field from prof),
 cmp as (select p.file_name, f.field, n.sp as s1, n.ki as k1, o.sp as s0, o.ki as k0 from pairs p cross join fields f
@@ -37,11 +37,21 @@ union all select file_name, field, 'type_changed' from cmp where s0 is not null
 """
 
 
+_CHANGES = _CHANGES_OF.replace("{field}", f"case {_SPELLED} end")
+_UNKNOWN = _CHANGES_OF.replace("{field}", f"case when (case {_SPELLED} end) is null then key end")
+
+
 @query(_CHANGES)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.schema_changes(drift.ingest(table(spark, folder, "matcher_raw")))
 
 
+@query(_UNKNOWN)
+def p1_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes of the keys that no field of the target approves."""
+    return drift.schema_changes(drift.ingest(table(spark, folder, "matcher_raw")), unknown=True)
+
+
 @query()
 def p1_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.ingest(table(spark, folder, "matcher_raw"))

@@ -166,3 +166,41 @@ def test_window_sums_stand_in_the_plan(spark):
     rows = [(i, f"scene0001_00/refined_instance/{i}_instance.json", '{"1": [0.5], "2": [0.5]}') for i in range(30)]
     plan = compaction.compact(feature_files(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "parse_json" not in plan
+
+
+def test_fractions_and_large_numbers_are_rescued(spark):
+    rows = [(1, "a", 0, '{"frame_id": 3.7, "num_frames": 2.5, "overlap_ratio": 1}'), (2, "a", 0, '{"frame_id": 3000000000, "num_frames": 4.0}')]
+    out = {r["raw_id"]: r for r in drift.ingest(raw(spark, rows)).collect()}
+    assert (out[1]["frame_id"], out[1]["num_frames"], out[1]["overlap_ratio"]) == (None, None, 1.0)
+    assert json.loads(out[1]["_rescued"]) == {"frame_id": 3.7, "num_frames": 2.5}
+    assert (out[2]["frame_id"], out[2]["num_frames"], out[2]["_replayed"]) == (None, 4, ["num_frames"])
+    assert json.loads(out[2]["_rescued"]) == {"frame_id": 3000000000}
+
+
+def test_quantisation_is_decided_per_file(spark):
+    rows = [
+        (1, "a", 0, '{"text_embedding0": [[0, 1, 0]]}'),
+        (2, "a", 1, '{"text_embedding0": [[0, 1, 0]]}'),
+        (3, "a", 1, '{"text_embedding0": [[51, -29, 0]]}'),
+        (4, "a", 2, '{"text_embedding0": [[0.5, 1, 0]]}'),
+        (5, "a", 2, '{"text_embedding0": [[2, 1, 0]]}'),
+        (6, "a", 1, '{"text_embedding0": "0.5,1"}'),
+    ]
+    out = {r["raw_id"]: (r["text_embedding0"], r["_replayed"]) for r in drift.ingest(raw(spark, rows)).collect()}
+    assert out[1] == ([[0, 1, 0]], []) and out[4] == ([[0.5, 1, 0]], []) and out[5] == ([[2, 1, 0]], [])
+    assert out[2] == ([[0, 0.01, 0]], ["text_embedding0"]) and out[3][0][0] == pytest.approx([0.51, -0.29, 0])
+    assert out[6] == ([[0.5, 1]], ["text_embedding0"])
+
+
+def test_several_spellings_of_a_field(spark):
+    rows = [(1, "a", 0, '{"frame_id": "x", "frameId": "7", "frame": 8, "box0": null}'), (2, "a", 0, '{"frame_id": "x", "frameId": "y"}')]
+    out = {r["raw_id"]: r for r in drift.ingest(raw(spark, rows)).collect()}
+    assert (out[1]["frame_id"], out[1]["_replayed"], json.loads(out[1]["_rescued"])) == (8, [], {"frame_id": "x"})
+    assert (out[2]["frame_id"], json.loads(out[2]["_rescued"])) == (None, {"frame_id": "x", "frameId": "y"})
+
+
+def test_changes_of_unknown_keys_and_of_files_without_known_ones(spark):
+    rows = [(1, "a", 0, '{"frame_id": 1}'), (2, "a", 1, '{"mystery": 1}'), (3, "a", 2, '{"mystery": 1.5, "frame_id": 1}'), (4, "a", 3, "{}")]
+    assert changes(spark, rows) == {("a/1", "frame_id", "removed"), ("a/2", "frame_id", "added"), ("a/3", "frame_id", "removed")}
+    unknown = drift.schema_changes(drift.ingest(raw(spark, rows)), unknown=True).collect()
+    assert {tuple(r) for r in unknown} == {("a/1", "mystery", "added"), ("a/2", "mystery", "type_changed"), ("a/3", "mystery", "removed")}
