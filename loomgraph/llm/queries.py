@@ -41,6 +41,16 @@ def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_of_some(_vectors(spark, folder), "id % 100 = 0", k=10).select("field_name", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
+#: The forest as a search without a threshold needs it: unrelated vectors have no near neighbours, so a large share of the leaves is visited.
+WIDE = neighbours.ForestRules(share=0.8)
+
+
+@query()
+def p2_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar rows of the rows whose id is divisible by 100 as the forest finds them; p2_nearest holds the exact ones."""
+    return neighbours.nearest(_vectors(spark, folder), k=10, rules=WIDE, asked="_id % 100 = 0").select("field_name", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
 @query()
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.map_names(_named(spark, folder), table(spark, folder, "label_table")).select("src", "row_id", "label_id")

@@ -80,6 +80,60 @@ def test_nearest_of_some_is_exact_over_cells(spark, monkeypatch):
     assert neighbours.nearest_of_some([(vector_rows(spark, []), "key", [("f", "v")])], "id % 4 = 0").count() == 0
 
 
+def test_forest_recall_without_threshold(spark):
+    from loomgraph.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    found, exact = ({tuple(r) for r in queries.QUERIES[name](spark, folder).collect()} for name in ("p2_forest", "p2_nearest"))
+    for field in ("object_node.visual_embedding", "instance_info.bert_embedding", "instance_info.feature"):
+        want = {r for r in exact if r[0] == field}
+        assert len(want & found) >= 0.9 * len(want) and len(want) >= 700, field
+    assert len(found) == len(exact)
+
+
+def test_queue_takes_branches_met_on_the_way_down_a_far_side():
+    rng = np.random.default_rng(8)
+    x = neighbours.unit(rng.normal(size=(400, 64)).astype(np.float32))
+    trees = [neighbours.fit_tree(x, 4, rng) for _ in range(2)]
+    ids = np.arange(len(x))
+    few = neighbours.Route(x, ids, trees, 4, 32).search(32)
+    assert len(few) == 32 and all(len({(int(t[i]), int(leaf[i])) for t, leaf in few}) == 32 for i in range(50))  # every leaf once, in the end
+    for (t, leaf), (t2, leaf2) in zip(few[:2], neighbours._ranked_leaves(x, ids, trees, 4, 32)[:2]):
+        assert np.array_equal(leaf, leaf2) and np.array_equal(t, t2)
+
+
+def test_rows_of_one_direction_are_spread_over_the_leaves():
+    rng = np.random.default_rng(9)
+    one = rng.normal(size=64)
+    x = neighbours.unit(np.concatenate([one[None, :] * rng.uniform(0.5, 2, (3000, 1)), rng.normal(size=(1000, 64))]).astype(np.float32))
+    tree = neighbours.fit_tree(np.unique(x, axis=0), 4, rng)
+    leaf = neighbours.visited(x, np.arange(len(x)), [tree], 4, 0)[0][1]
+    assert np.bincount(leaf - 15, minlength=16).max() < 1200
+
+
+def test_a_leaf_of_near_duplicates_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(10)
+    x = (rng.normal(size=64) + 1e-4 * rng.normal(size=(4000, 64))).astype(np.float32)
+    everyone = np.ones(len(x), bool)
+    tracemalloc.start()
+    a, b, c = neighbours.leaf_pairs(np.arange(len(x)), x, everyone, everyone, 10, 0.92, neighbours.ForestRules())
+    assert tracemalloc.get_traced_memory()[1] < 500e6 and len(a) == 40000
+    tracemalloc.stop()
+
+
+def test_a_large_leaf_is_searched_by_trees_of_its_own():
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3000, 64))
+    x = np.concatenate([base, base + 0.1 * rng.normal(size=base.shape)]).astype(np.float32)
+    everyone, rules = np.ones(len(x), bool), neighbours.ForestRules(local_rows=1000, leaf_rows=256)
+    a, b, _ = neighbours.leaf_pairs(np.arange(len(x)), x, everyone, everyone, 10, 0.92, rules)
+    found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    want = {(i, i + 3000) for i in range(3000)}
+    assert len(found & want) >= 0.97 * len(want) and len(a) == len(set(zip(a.tolist(), b.tolist())))
+
+
 def test_blocks_are_lossless():
     rng = np.random.default_rng(5)
     for x in (np.round(rng.normal(size=(20, 64)) * 256) / 256, rng.normal(size=(20, 64)), np.full((2, 64), 1e30)):
