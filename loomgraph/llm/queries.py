@@ -41,8 +41,9 @@ def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_of_some(_vectors(spark, folder), "id % 100 = 0", k=10).select("field_name", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
-#: The forest as a search without a threshold needs it: unrelated vectors have no near neighbours, so a large share of the leaves is visited.
-WIDE = neighbours.ForestRules(share=0.8)
+#: The forest as a search without a threshold needs it: unrelated vectors have no near neighbours, so a large share of the
+#: leaves is visited. These are larger, since each gives k rows of every query that visits it.
+WIDE = neighbours.ForestRules(share=0.8, leaf_rows=8192)
 
 
 @query()
