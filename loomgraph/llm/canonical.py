@@ -1,21 +1,27 @@
 """Freely written values mapped to a list of reference entries.
 
-A value is folded (letter case, accents, look-alike letters, digits for letters), freed of numbering, serial numbers,
-remarks and modifiers, and what remains is looked up as a whole: exactly, as a plural, as an abbreviation, then in a
-BK-tree over the entries and their aliases. The tree's metric is Levenshtein's; its triangle inequality prunes, and every
-entry within the radius comes back. Winners are ranked by the distance that counts a swap of neighbours once, within an
-allowance that grows with length. Distinct values are matched once and joined back.
+A value is folded (letter case, accents, look-alike letters, digits for letters) and freed of what its form marks as no
+part of the name: numbering, serial numbers, brackets, and what follows a dash or colon. Every contiguous span of its words
+is looked up: exactly, as a plural, as an abbreviation, then in a BK-tree over the entries and their aliases, so words that
+only qualify the thing need not be known. The tree's metric is Levenshtein's; its triangle inequality prunes, and every
+entry within the radius comes back. A span counts its letters less its distance (that which counts a swap of neighbours
+once), within an allowance that grows with length; the span that counts most gives the entry. Distinct values are matched
+once and joined back.
 
 Defined cases. Null, blank and `unknown` names (any letter case) are no names. A named value that means no entry gives
--1. Ties go to the entry itself before an alias, then to the smaller id. Repeated keys count once. The reference list is
-sent in shards of a checked size; the shards' winners merge by the same rank. Other columns are ignored.
+-1. Equal spans rank by exactness, then by nearness to the end of the phrase, where the head of a name stands; then comes
+the entry itself before an alias, then the smaller id. A span of less than HEAD_LETTERS letters that is no whole phrase and
+does not end it must be exact. `table, coffee` is also read as `coffee table`. Repeated keys count once. The reference list
+is sent in shards of a checked size; a span is judged in each shard by itself and the shards' winners merge by the same
+rank, so the result does not depend on their number. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,18 +32,12 @@ from loomgraph.llm.leakage import peq_table
 from loomgraph.session import cut_lineage
 
 SHARD_ENTRIES = 50_000
-#: Words that qualify a thing without changing what it is.
-MODIFIERS = frozenset(
-    "old new worn broken dirty clean small large big tall short round square long wide narrow low high tiny "
-    "white black grey gray brown beige red blue green yellow orange pink purple silver golden dark light "
-    "wooden metal plastic leather glass wood steel fabric left right the a an".split()
-)
-#: Remarks on place and state that follow a name.
-REMARK = re.compile(r"\b(in the corner|beside the exit|near the entrance|with scratches|close to camera|partly hidden|upside down|left side|right side|blurry)\b")
+#: Letters from which on a span within a phrase may differ from an entry.
+HEAD_LETTERS = 5
 _HOMOGLYPHS = str.maketrans("аеосрхуіјѕһкмтвнԁɡ", "aeocpxyijshkmtbhdg")
 _NUMBERING = re.compile(r"^\s*\d+\s*[.)\-:]+\s*")
 _SERIAL = re.compile(r"\(\s*id\s*\d+\s*\)|(?:^|[\s_])sn\s*\d+|[#№]\s*\d+|[\s_]+\d+\s*$")
-_LEET = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+_LEET = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 
 
 def fold(value: str) -> str:
@@ -132,32 +132,49 @@ def allowance(length: int) -> int:
     return 0 if length < 3 else 1 if length < 9 else 2
 
 
+def _merged(text: str) -> str:
+    """The text with i, l and 1 as one letter."""
+    return text.replace("i", "l").replace("1", "l")
+
+
+class Index:
+    """Names by their letters, each with its (0 entry or 1 alias, id)."""
+
+    def __init__(self, names: Mapping[str, tuple[int, int]]):
+        self.names, self.sorted, self.tree = names, sorted(names), BKTree(sorted(names))
+
+    def begun(self, start: str) -> tuple[int, int] | None:
+        """The best of the names that begin so."""
+        found = []
+        for name in self.sorted[bisect_left(self.sorted, start) :]:
+            if not name.startswith(start):
+                break
+            found.append(self.names[name])
+        return min(found, default=None)
+
+
+#: (letters not counted, how it was found, words behind the span, kind, id): the smallest of all spans and shards is meant.
+Rank = tuple[int, int, int, int, int]
+
+
 class Canon:
     """entries: (id, category, aliases separated by ` | ` or None)."""
 
     def __init__(self, entries: Sequence[tuple[int, str, str | None]]):
-        self.names: dict[str, tuple[int, int]] = {}  # letters of a name -> (0 entry or 1 alias, id)
-        words = set()
-        for i, category, aliases in sorted(entries):
+        names: dict[str, tuple[int, int]] = {}
+        for i, category, aliases in entries:
             for kind, name in [(0, category), *((1, a) for a in (aliases or "").split("|"))]:
-                folded = fold(name or "")
-                if key := _letters(folded):
-                    self.names[key] = min(self.names.get(key, (kind, i)), (kind, i))
-                    words |= set(re.findall(r"[^\W_]+", folded))
-        self.words = words
-        self.tree = BKTree(sorted(self.names))
-        self.modifiers = [m for m in MODIFIERS if m not in words]
-        self.cache: dict[tuple[str, bool], tuple[int, int, int] | None] = {}
-
-    def is_modifier(self, word: str) -> bool:
-        if word in MODIFIERS:
-            return True
-        if len(word) < 4 or word in self.words:
-            return False
-        return any(abs(len(m) - len(word)) <= 1 and len(m) > 3 and swap_distance(word, m) <= 1 for m in self.modifiers)
-
-    def cores(self, value: str) -> Iterator[tuple[str, bool]]:
-        """(what may be the name itself, whether it is marked as abbreviated), most literal first."""
+                if key := _letters(fold(name or "")):
+                    names[key] = min(names.get(key, (kind, i)), (kind, i))
+        merged: dict[str, tuple[int, int]] = {}
+        for key, of in names.items():
+            merged[_merged(key)] = min(merged.get(_merged(key), of), of)
+        self.plain, self.merged = Index(names), Index(merged)
+        self.longest = max(map(len, names), default=0)
+        self.cache: dict[tuple[str, bool], tuple[int, int, int, int] | None] = {}
+
+    def phrases(self, value: str) -> Iterator[tuple[list[str], bool, bool]]:
+        """(words, whether the last one is marked as abbreviated, whether a comma was only left out)."""
         text = fold(value).replace("_", " ").strip("\"'“”‘’ ")
         before = None
         while before != text:
@@ -166,78 +183,84 @@ class Canon:
         text = re.sub(r"\s+-\s+.*$|:.*$|\[[^\]]*\]", " ", text).strip()
         inner = re.sub(r"\([^)]*\)", " ", text).strip()
         text = inner if _letters(inner) else text.strip("() ")
-        short = text.endswith(".")
-        text = REMARK.sub(" ", text).strip(" .\"'")
-        parts = [p.strip() for p in text.split(",") if p.strip()]
-        orders = [" ".join(parts)]
+        short, parts = text.endswith("."), [p for p in text.strip(" .\"'").split(",") if p.strip()]
+        yield re.findall(r"[^\W_]+", " ".join(reversed(parts))), short and len(parts) < 2, False
         if len(parts) > 1:
-            orders = [" ".join(reversed(parts)), " ".join(parts)]
-        for order in orders:
-            words = re.findall(r"[^\W_]+", order)
-            yield "".join(words), short
-            while words and self.is_modifier(words[0]):
-                words = words[1:]
-                if words:
-                    yield "".join(words), short
-            while len(words) > 1 and self.is_modifier(words[-1]):
-                words = words[:-1]
-                yield "".join(words), short
-
-    def lookup(self, core: str, short: bool) -> tuple[int, int, int] | None:
-        """(distance, kind, id) of the best entry for a core, or None."""
-        for form in self._forms(core):
-            if form in self.names:
-                return (0, *self.names[form])
-        if short and len(core) >= 3:
-            begun = sorted((kind, i) for name, (kind, i) in self.names.items() if name.startswith(core))
-            if begun:
-                return (0, *begun[0])
+            yield re.findall(r"[^\W_]+", " ".join(parts)), short, True
+
+    def lookup(self, core: str, short: bool) -> tuple[int, int, int, int] | None:
+        """(distance, how, kind, id) of the best entry for a span; how: 0 as it is, 1 in another form, 2 begun, 3 within the allowance."""
+        digits = any(c.isdigit() for c in core) and any(c.isalpha() for c in core)
+        forms = [(self.plain, f) for f in _singulars(core)]
+        if digits:
+            index = self.merged if "1" in core else self.plain
+            read = "".join(_LEET.get(c, c) for c in core)
+            forms += [(index, f) for f in _singulars(_merged(read) if "1" in core else read)]
+        if core in self.plain.names:
+            return (0, 0, *self.plain.names[core])
+        exact = [index.names[form] for index, form in forms[1:] if form in index.names]
+        if exact:
+            return (0, 1, *min(exact))
+        if short and len(core) >= 3 and (begun := self.plain.begun(core)):
+            return (0, 2, *begun)
         best = None
-        for form in self._forms(core):
+        for index, form in forms:
             most = max(allowance(len(form) + 1), allowance(len(form)))
-            if most and len(form) > 2:
-                for _, name in self.tree.within(form, 2 * most):
+            if most and 2 < len(form) <= self.longest + 2:
+                for _, name in index.tree.within(form, 2 * most):
                     d = swap_distance(form, name)
                     if d <= allowance(len(name)):
-                        rank = (d, *self.names[name])
+                        rank = (d, 3, *index.names[name])
                         best = rank if best is None or rank < best else best
         return best
 
-    def _forms(self, core: str) -> list[str]:
-        out = [core]
-        if any(c.isdigit() for c in core) and any(c.isalpha() for c in core):
-            plain = [""]
-            for c in core:  # a 1 stands for l or i
-                plain = [p + x for p in plain for x in ("li" if c == "1" and len(plain) < 16 else _LEET.get(c, c))]
-            out += plain
-        for form in list(out):
-            if form.endswith("ies"):
-                out.append(form[:-3] + "y")
-            if form.endswith("ves"):
-                out += [form[:-3] + "f", form[:-3] + "fe"]
-            if form.endswith("es"):
-                out.append(form[:-2])
-            if form.endswith("s"):
-                out.append(form[:-1])
-        return list(dict.fromkeys(out))
-
-    def match(self, value: str) -> tuple[int, int, int] | None:
-        """(distance, kind, id) of the entry that a value means, or None."""
-        best = None
-        for core, short in self.cores(value):
-            if len(core) < 2:
-                continue
-            if (core, short) not in self.cache:
-                if len(self.cache) > 200_000:
-                    self.cache.clear()
-                self.cache[core, short] = self.lookup(core, short)
-            found = self.cache[core, short]
-            if found is not None and (best is None or found < best):
-                best = found
-            if best is not None and best[0] == 0:
-                break
+    def _found(self, core: str, short: bool) -> tuple[int, int, int, int] | None:
+        if (core, short) not in self.cache:
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            self.cache[core, short] = self.lookup(core, short)
+        return self.cache[core, short]
+
+    def rank(self, value: str) -> Rank | None:
+        """Rank of the entry that a value means, or None. Its first number is the distance less the letters of the span."""
+        best: Rank | None = None
+        for words, short, unordered in self.phrases(value):
+            n = len(words)
+            for a in range(n):
+                core = ""
+                for b in range(a + 1, n + 1):
+                    core += words[b - 1]
+                    if len(core) > self.longest + 5:  # more than an ending and the allowance
+                        break
+                    found = self._found(core, short and b == n) if len(core) > 1 else None
+                    if found is None:
+                        continue
+                    d, how, kind, i = found
+                    if d and (a or b < n) and (unordered or (b < n and len(core) < HEAD_LETTERS)):
+                        continue
+                    own = (d - len(core), how, n - b, kind, i)
+                    best = own if best is None or own < best else best
         return best
 
+    def match(self, value: str) -> int:
+        """Id of the entry that a value means, or -1."""
+        found = self.rank(value)
+        return -1 if found is None else found[-1]
+
+
+def _singulars(form: str) -> list[str]:
+    """The form and what it may be the plural of."""
+    out = [form]
+    if form.endswith("ies"):
+        out.append(form[:-3] + "y")
+    if form.endswith("ves"):
+        out += [form[:-3] + "f", form[:-3] + "fe"]
+    if form.endswith("es"):
+        out.append(form[:-2])
+    if form.endswith("s"):
+        out.append(form[:-1])
+    return out
+
 
 @lru_cache(maxsize=2)
 def _canon(entries: tuple[tuple[int, str, str | None], ...]) -> Canon:
@@ -250,11 +273,19 @@ def is_name(value: Column) -> Column:
     return value.isNotNull() & (trimmed != "") & (F.lower(trimmed) != "unknown")
 
 
+#: Distinct values of one task at most.
+TASK_VALUES = 20_000
+RANK = "less int, how int, behind int, kind int, label_id int"
+
+
 def match_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """value, label_id, distance of the distinct values; -1 and null where none is meant. reference: id, category, aliases."""
+    """value, label_id, how of the distinct values; -1 and null where none is meant. reference: id, category, aliases."""
     spark = values.sparkSession
     entries = reference.select("id", "category", "aliases").where("id is not null and category is not null").dropDuplicates(["id"])
     shards = max(1, -(-entries.count() // shard_entries))
+    own_values = cut_lineage(values.select("value"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-own_values.count() // TASK_VALUES))
+    spread = own_values.repartition(tasks)  # a few bytes a row, but much work
     out = None
     for shard in range(shards):
         own = entries.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard) if shards > 1 else entries
@@ -263,20 +294,20 @@ def match_values(values: DataFrame, reference: DataFrame, shard_entries: int = S
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             canon = _canon(sent.value)
             for b in batches:
-                found = [canon.match(v) for v in b.column(0).to_pylist()]
-                columns = [pa.array([None if f is None else f[i] for f in found], pa.int32()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["value", "distance", "kind", "label_id"])
+                found = [canon.rank(v) for v in b.column(0).to_pylist()]
+                columns = [pa.array([None if f is None else f[i] for f in found], pa.int32()) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["value", "less", "how", "behind", "kind", "label_id"])
 
-        found = values.select("value").mapInArrow(run, "value string, distance int, kind int, label_id int")
+        found = spread.mapInArrow(run, f"value string, {RANK}")
         out = found if out is None else out.unionByName(found)
     if shards > 1:
-        best = F.min(F.when(F.col("label_id").isNotNull(), F.struct("distance", "kind", "label_id")))
+        best = F.min(F.when(F.col("label_id").isNotNull(), F.struct("less", "how", "behind", "kind", "label_id")))
         out = out.groupBy("value").agg(best.alias("b")).select("value", "b.*")
-    return out.select("value", F.coalesce("label_id", F.lit(-1)).alias("label_id"), "distance")
+    return out.select("value", F.coalesce("label_id", F.lit(-1)).alias("label_id"), "how")
 
 
 def map_names(named: dict[str, tuple[DataFrame, str, str]], reference: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """src, row_id, value, label_id, distance of every named row of each src (rows, key, value)."""
+    """src, row_id, value, label_id, how of every named row of each src (rows, key, value)."""
     rows = values = None
     for src, (df, key, value) in named.items():
         every = df.select(F.lit(src).alias("src"), F.col(key).cast("long").alias("row_id"), F.col(value).alias("value")).where(is_name(F.col("value")))
@@ -286,7 +317,7 @@ def map_names(named: dict[str, tuple[DataFrame, str, str]], reference: DataFrame
     # a third of all rows may share one value: a small table is broadcast; else adaptive execution splits the hot value
     small = matched.agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("size")).first()
     fits = small["n"] <= broadcast_rows and (small["size"] or 0) <= 64 * broadcast_rows
-    return rows.join(F.broadcast(matched) if fits else matched, "value").select("src", "row_id", "value", "label_id", "distance")
+    return rows.join(F.broadcast(matched) if fits else matched, "value").select("src", "row_id", "value", "label_id", "how")
 
 
 def unmatched_values(mapped: DataFrame) -> DataFrame:
