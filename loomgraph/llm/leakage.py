@@ -1,14 +1,17 @@
 """Held-out evaluation passages inside a corpus, whole, in part or slightly changed.
 
-Pigeonhole edit matching. A passage is a window of 12 consecutive words of an item. Items are split into pieces of four
-words; every window holds at least error budget + 1 whole pieces, so a window within the budget has a piece that occurs
-exactly. One Aho-Corasick automaton finds all pieces in a document in one pass. Around each place the run of equal words
-is extended; where it and what follows the words that one edit can spoil leave room for a window within the budget,
-Myers' bit-parallel distance of the window to the text there decides.
+Pigeonhole edit matching. A passage is a window of 12 consecutive words of an item. Items are split into pieces of PIECE
+words, so short that every window holds at least error budget + 1 whole pieces: a window within the budget has a piece that
+occurs exactly. All pieces are found in a document in one pass, by an Aho-Corasick automaton. Of the windows around each
+place, those that the equal words on both sides, within the edits each side is left, do not fill are left out; of the rest Myers'
+bit-parallel distance to the text there decides. Window and text are compared with the blanks around their words, so a distance of 0
+means equal words.
 
 Defined cases. Words are runs of letters and digits as a reader sees them (see words.py). Null, empty and word-less texts
-hold nothing; items of fewer words than a window have none. Items with the same text are all reported. The item table is
-sent to the executors in shards of a checked number of items; a larger table means more shards, never fewer items.
+hold nothing; items of fewer words than a window have none. Items with the same text are all reported. Up to
+AUTOMATON_ITEMS items are sent to the executors; beyond, the documents' pieces are looked up in a sorted table of hashes
+that is sent as far as HASH_BYTES allow, and joined with those of the items otherwise; pairs that share a piece are
+verified alike. Both ways read the corpus once to find pieces, whatever the number of items, and give the same rows.
 """
 
 from __future__ import annotations
@@ -17,18 +20,22 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import words
+from loomgraph.session import cut_lineage
 from loomgraph.tables import spread_out
 
 WINDOW = 12
-PIECE = 4
+PIECE = 3
 #: Character edits allowed in a window; (WINDOW - PIECE + 1) // PIECE pieces are whole in each, so BUDGET + 1 at least.
-BUDGET = 1
-SHARD_ITEMS = 20_000
+BUDGET = 2
+AUTOMATON_ITEMS = 20_000
+HASH_BYTES = 256 * 1024 * 1024
 
 
 def peq_table(pattern: str) -> dict[str, int]:
@@ -64,6 +71,24 @@ def myers(pattern: str, text: str, limit: int) -> int:
     return min(best, limit + 1)
 
 
+def reach(pattern: str, text: str, budget: int) -> list[int]:
+    """Words at the beginning of the pattern, each with the blank behind it, that the beginning of the text holds with 0, 1, ... budget edits."""
+    m, n, front, out = len(pattern), len(text), {}, []
+    for e in range(budget + 1):
+        ahead = {}
+        for d in range(-e, e + 1):  # diagonals: a substitution or an omission takes one letter of the pattern, an addition none
+            i = max(front.get(d, -1) + 1, front.get(d + 1, -1) + 1, front.get(d - 1, -1)) if e else 0
+            i = min(i, m, n - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < m and i + d < n and pattern[i] == text[i + d]:
+                i += 1
+            ahead[d] = i
+        front = ahead
+        out.append(pattern.count(" ", 0, max(front.values(), default=0)))
+    return out
+
+
 class Matcher:
     """items: (id, text)."""
 
@@ -123,39 +148,21 @@ class Matcher:
             hi += 1
         return lo, hi
 
-    def _beyond(self, item: list[str], ws: list[str], i: int, j: int, step: int) -> int:
-        """Most equal words in one direction, over the words and shifts that the edits left in the budget can cost."""
-        best, spoilt = 0, 2 * self.budget
-        for a in range(spoilt + 1):
-            for b in range(max(0, a - self.budget), a + self.budget + 1):
-                p, q, n = i + step * a, j + step * b, 0
-                while n < self.window and 0 <= p < len(item) and 0 <= q < len(ws):
-                    if item[p] == ws[q]:
-                        n += 1
-                    else:
-                        break
-                    p, q = p + step, q + step
-                best = max(best, n)
-        return best
-
     def _verify(self, item: list[str], ws: list[str], shift: int, lo: int, hi: int) -> int:
-        """Least distance of a window that holds most of the run."""
-        run, w, best = hi - lo, self.window, self.budget + 1
-        last = len(item) - w
-        starts = set()
-        if run >= w:
-            starts.add(lo)
-        else:
-            lack = w - run - 2 * self.budget
-            if lack <= 0 or self._beyond(item, ws, hi, hi + shift, 1) >= lack:
-                starts.add(min(lo, last))
-            if lack <= 0 or self._beyond(item, ws, lo - 1, lo + shift - 1, -1) >= lack:
-                starts.add(max(0, hi - w))
-            if lack <= 0:
-                starts |= {s for s in range(max(0, hi - w), min(lo, last) + 1)}
+        """Least distance of a window that holds the run, or as much of it as a window holds; a window that cuts the run is no nearer."""
+        w, e, best = self.window, self.budget, self.budget + 1
+        lack, starts = w - (hi - lo), {lo}
+        if lack > 0:
+            more = lack + e + 1
+            after = reach(" ".join(item[hi : hi + lack]) + " ", " ".join(ws[hi + shift : hi + shift + more]) + " ", e)
+            if after[e] < lack and not lo:
+                return best
+            before = reach(" ".join(item[max(0, lo - lack) : lo])[::-1] + " ", " ".join(ws[max(0, lo + shift - more) : lo + shift])[::-1] + " ", e)
+            # words to the left and right within the edits left to each side
+            starts = {s for n in range(e + 1) for s in range(max(0, lo - before[n], hi - w), min(lo, len(item) - w, hi - w + after[e - n]) + 1)}
         for s in sorted(starts):
-            a, b = max(0, s + shift - 1 - self.budget), s + shift + w + 1 + self.budget
-            best = min(best, myers(" ".join(item[s : s + w]), " ".join(ws[a : max(a, b)]), self.budget))
+            a, b = max(0, s + shift - 1 - e), s + shift + w + 1 + e
+            best = min(best, myers(f" {' '.join(item[s : s + w])} ", f" {' '.join(ws[a : max(a, b)])} ", e))
             if not best:
                 break
         return best
@@ -166,24 +173,72 @@ def _matcher(items: tuple[tuple[int, str], ...], window: int, piece: int, budget
     return Matcher(items, window, piece, budget)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, piece: int = PIECE, budget: int = BUDGET, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """doc_id, item_id, run_words, distance: documents that hold a window of an item within the budget of edits."""
-    spark = documents.sparkSession
-    one = items.select("item_id", "text").where("text is not null").dropDuplicates(["item_id"])
-    docs = spread_out(documents.select("doc_id", "text").where("text is not null"))
-    shards = max(1, -(-one.count() // shard_items))
-    out = None
-    for shard in range(shards):
-        own = one.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else one
-        sent = spark.sparkContext.broadcast(tuple((r["item_id"], r["text"]) for r in own.orderBy("item_id").collect()))  # about shard_items rows
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(sent.value, window, piece, budget)
-            for b in batches:
-                rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in matcher.find(t)]
-                columns = list(zip(*rows)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "item_id", "run_words", "distance"])
-
-        found = docs.mapInArrow(run, "doc_id long, item_id long, run_words int, distance int")
-        out = found if out is None else out.unionByName(found)
+KINDS = "doc_id long, item_id long, run_words int, distance int"
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [[], [], [], []]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "run_words", "distance"])
+
+
+def _by_automaton(docs: DataFrame, items: DataFrame, window: int, piece: int, budget: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(tuple((r["item_id"], r["text"]) for r in items.orderBy("item_id").collect()))  # AUTOMATON_ITEMS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(sent.value, window, piece, budget)
+        for b in batches:
+            yield _rows([(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in matcher.find(t)])
+
+    return docs.mapInArrow(run, KINDS)
+
+
+def _hashes(ws: list[str], piece: int, step: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the pieces of some words."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(ws[at : at + piece])) for at in range(0, len(ws) - piece + 1, step)], np.uint64)).view(np.int64)
+
+
+def _by_join(docs: DataFrame, items: DataFrame, window: int, piece: int, budget: int, hash_bytes: int) -> DataFrame:
+    """As the automaton, for item tables of any size."""
+    spark = docs.sparkSession
+
+    def item_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, h) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for ws in [words(t)] if len(ws) >= window for h in _hashes(ws, piece, piece).tolist()]
+            ids, hashes = zip(*found) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["item_id", "piece"])
+
+    pieces = cut_lineage(items.mapInArrow(item_pieces, "item_id long, piece long"))
+    known = pieces.select("piece").distinct()
+    sent = None
+    if known.count() * 8 <= hash_bytes:
+        sent = spark.sparkContext.broadcast(np.sort(known.toArrow()["piece"].to_numpy()))
+
+    def doc_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = _hashes(words(t), piece, 1)
+                if sent is not None and len(own):
+                    at = np.searchsorted(sent.value, own)
+                    own = own[sent.value[np.minimum(at, len(sent.value) - 1)] == own] if len(sent.value) else own[:0]
+                ids.append(np.full(len(own), d, np.int64))
+                hashes.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(hashes))], names=["doc_id", "piece"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(d, *hit) for d, i, t, own in zip(*(c.to_pylist() for c in b.columns)) for hit in _matcher(((i, own),), window, piece, budget).find(t)])
+
+    pairs = docs.mapInArrow(doc_pieces, "doc_id long, piece long").join(pieces, "piece").select("doc_id", "item_id").distinct()
+    texts = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
+    return texts.select("doc_id", "item_id", "text", "item_text").mapInArrow(verify, KINDS)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, piece: int = PIECE, budget: int = BUDGET, automaton_items: int = AUTOMATON_ITEMS, hash_bytes: int = HASH_BYTES) -> DataFrame:
+    """doc_id, item_id, run_words, distance: documents that hold a window of an item within the budget of edits. run_words: the longest run of equal words around a piece."""
+    one = items.select(F.col("item_id").cast("long"), "text").where("text is not null and item_id is not null").dropDuplicates(["item_id"])
+    docs = spread_out(documents.select(F.col("doc_id").cast("long"), "text").where("text is not null"))
+    small = one.count() <= automaton_items
+    out = _by_automaton(docs, one, window, piece, budget) if small else _by_join(docs, one, window, piece, budget, hash_bytes)
     return out.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.min("distance").alias("distance"))

@@ -337,12 +337,39 @@ def test_leaks_equal_brute_force(spark):
     df, it = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items[:20] + items[-1:], "item_id long, text string, doc_id string")
     windows = {i: {tuple(w[k : k + 12]) for k in range(len(w) - 11)} for i, t, _ in items[:20] for w in [words(t)]}
     want = {(d, i) for d, t, _ in docs if t for w in [words(t)] for i in windows if any(tuple(w[k : k + 12]) in windows[i] for k in range(len(w) - 11))}
-    for shard in (1000, 6):
-        got = leakage.leaked_items(df, it, shard_items=shard).where("distance = 0 and run_words >= 12").collect()
+    for most, size in ((1000, 0), (6, 1 << 20), (6, 0)):
+        got = leakage.leaked_items(df, it, automaton_items=most, hash_bytes=size).where("distance = 0").collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     assert len(want) > 5 and leakage.leaked_items(df.limit(0), it).count() == 0 and leakage.leaked_items(df, it.limit(0)).count() == 0
 
 
+def test_edited_passages_equal_brute_force(spark):
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choices("abcd", k=rng.randint(2, 7))) for _ in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(10, 20)))) for i in range(12)]
+    docs = []
+    for d in range(240):
+        own = items[rng.randrange(12)][1].split()
+        a = rng.randrange(max(1, len(own) - 12))
+        passage = list(" ".join(own[a : a + rng.randint(9, 16)]))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(passage))
+            passage[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", " ", "bc"])
+        docs.append((d, f"{' '.join(rng.choices(vocabulary, k=rng.randint(0, 6)))} {''.join(passage)} {' '.join(rng.choices(vocabulary, k=rng.randint(0, 6)))}"))
+    want = {}
+    for d, t in docs:
+        line = f" {' '.join(words(t))} "
+        for i, text in items:
+            w = words(text)
+            least = min((leakage.myers(f" {' '.join(w[k : k + 12])} ", line, 2) for k in range(len(w) - 11)), default=3)
+            if least <= 2:
+                want[d, i] = least
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (100, 3):
+        assert {(r["doc_id"], r["item_id"]): r["distance"] for r in leakage.leaked_items(df, it, automaton_items=most).collect()} == want
+    assert {0, 1, 2} == set(want.values()) and sum(v > 0 for v in want.values()) > 30
+
+
 # p10
 
 
