@@ -2,14 +2,17 @@
 
 Hierarchical discrimination. Sentences are told apart by language family first, then one-versus-one linear support vector
 machines separate the languages of the family. All machines work on hashed pieces of words, so the score of a sentence is
-the mean of its words' scores, and a word is scored once per worker. Only families written in a sentence's script are
-considered. The machines are fitted on a bounded sample of labelled documents: each half is first judged by machines
-fitted on the other half, and sentences whose label these contradict are left out of the final fit.
-
-Defined cases. Words with digits or underscores, settings, markup and JSON keys are no words. A sentence has at least
+the mean of its words' scores: a word is scored once per worker, and the sentences of a batch are scored together, as the
+product of their sparse matrix of words with the words' scores. Only families written in a sentence's script are
+considered. The machines are fitted on a bounded sample of labelled documents, taken by hash: each half is first judged by
+machines fitted on the other half, and sentences whose label these contradict are left out of the final fit. What the
+judges get right at which margin on the half they have not seen gives the confidence of a margin.
+
+Defined cases. Words with digits or underscores, settings, markup, JSON keys and
+JSON values without any sentence mark are no words. A sentence has at least
 MIN_WORDS words (Han characters count singly, MIN_HAN of them). Null, empty and blank texts and those without a sentence
 have no segment. A sentence whose closest decision is under MIN_MARGIN (MIN_SHORT_MARGIN if short) takes the language of the sentence before
-it, else of the one after. Labels count by their letters before any region; anything but a known code is missing. Whole
+it, else of the one after, with confidence INHERITED. Labels count by their letters before any region; anything but a known code is missing. Whole
 texts are read; other columns are ignored.
 """
 
@@ -43,13 +46,20 @@ MIN_HAN = 4
 MIN_MARGIN = 0.15
 SHORT = 9
 MIN_SHORT_MARGIN = 0.6
+#: Confidence of a sentence that takes the language of another.
+INHERITED = 0.5
+#: Texts whose sentences are scored together, and steps of the calibration.
+BATCH_TEXTS = 1024
+STEPS = 20
 
 _JSON_VALUE = re.compile(r'"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
+_END = re.compile(r"[.!?;。！？；…]")
 _JSON = re.compile(r'[{\[]\s*[{"]')
 _SENTENCE = re.compile(r"[^.!?;。！？；…\n\r\x0b\x0c\u2028\u2029\x85|]+(?:[.!?;。！？；…]+|$|(?=[\n\r\x0b\x0c\u2028\u2029\x85|]))", re.M)
 _SETTING = re.compile(r"\b[\w.]+\s*[=:]\s*[-+]?\d[\w.]*|\([^()]*\d[^()]*\)|<[^<>]*>|\[[^\[\]]*\]|[^\s\u3400-\u9fff\u3000-\u303f\uff00-\uffef]*[\d_][^\s\u3400-\u9fff\u3000-\u303f\uff00-\uffef]*")
 #: A line end within a sentence.
 _WRAPPED = re.compile(r"(?<=[^.!?;:。！？；\s])[ \t]*\r?\n[ \t]*(?=[a-zß-öø-ÿа-яё])")
+_UNPLAIN = re.compile(r"[\d_<\[]")
 _WORD = re.compile(r"[\u3400-\u9fff]|[^\W\d_\u3400-\u9fff]+(?:['’](?=[^\W\d_]))?")
 _HAN = re.compile(r"[\u3400-\u9fff]")
 
@@ -59,11 +69,11 @@ def sentences(text: str | None) -> list[list[str]]:
     if not text:
         return []
     if _JSON.search(text):
-        text = _JSON_VALUE.sub(lambda m: "\n" if m[1] == "name" else f"\n{m[2]}\n", text)
+        text = _JSON_VALUE.sub(lambda m: f"\n{m[2]}\n" if _END.search(readable(m[2])) else "\n", text)
     out = []
     for piece in _SENTENCE.findall(readable(_WRAPPED.sub(" ", _BROKEN.sub("", text)))):
-        ws = _WORD.findall(_SETTING.sub(" ", piece))
-        han = sum(1 for w in ws if _HAN.match(w))
+        ws = _WORD.findall(_SETTING.sub(" ", piece) if _UNPLAIN.search(piece) else piece)
+        han = len(_HAN.findall("".join(ws))) if not piece.isascii() else 0
         if len(ws) - han >= MIN_WORDS or han >= MIN_HAN:
             out.append(ws)
     return out
@@ -80,12 +90,21 @@ def pieces(word: str) -> np.ndarray:
     return np.fromiter((zlib.crc32(g.encode("utf-8", "replace")) & ((1 << BITS) - 1) for g in grams), np.int64, len(grams))
 
 
+SCRIPTS = ("latin", "cyrillic", "han")
+
+
+def letter_script(word: str) -> int:
+    """Place in SCRIPTS of the script of a word (latin for any other)."""
+    c = word[0]
+    return 2 if "\u3400" <= c <= "\u9fff" else 1 if "\u0400" <= c <= "\u04ff" else 0
+
+
 def script(ws: Sequence[str]) -> str:
-    """han, cyrillic or latin (also any other), whichever most words are written in."""
-    first = [w[0] for w in ws]
-    han = sum("\u3400" <= c <= "\u9fff" for c in first)
-    cyrillic = sum("\u0400" <= c <= "\u04ff" for c in first)
-    return "han" if han * 2 > len(first) else "cyrillic" if cyrillic * 2 > len(first) else "latin"
+    """The script that more than half of the words are written in, else latin."""
+    counts = [0, 0, 0]
+    for w in ws:
+        counts[letter_script(w)] += 1
+    return SCRIPTS[2 if counts[2] * 2 > len(ws) else 1 if counts[1] * 2 > len(ws) else 0]
 
 
 class Model:
@@ -101,10 +120,20 @@ class Model:
         self.pairs += [(f, a, b) for f, g in self.groups.items() for i, a in enumerate(g) for b in g[i + 1 :]]
         self.weights = np.zeros((max(1, len(self.pairs)), 1 << BITS), np.float32)
         self.scripts = dict.fromkeys(self.groups, "latin")
-        self.words: dict[str, np.ndarray] = {}
+        #: Margins and the confidence at each, see calibrate.
+        self.curve = np.array([0.0, 1.0]), np.array([0.5, 0.98])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.known, self.kinds = np.zeros((1024, len(self.weights)), np.float32), np.zeros(1024, np.int8)
 
     def __getstate__(self):
-        return self.__dict__ | {"words": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "known", "kinds")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     def fit(self, data: Sequence[tuple[list[str], str]], seed: int = 5) -> None:
         """Pegasos with averaging on (words, language)."""
@@ -141,39 +170,82 @@ class Model:
                         np.add.at(w, at, eta * y * min(cost[y], 10.0) * v / scale)
                 total += w * scale
             self.weights[m] = total / EPOCHS
-        self.words = {}
-
-    def scores(self, ws: list[str]) -> np.ndarray:
-        if len(self.words) > 300_000:
-            self.words = {}
-        total = np.zeros(len(self.weights), np.float32)
-        for w in ws:
-            s = self.words.get(w)
-            if s is None:
-                p = pieces(w)
-                s = self.words[w] = self.weights[:, p].sum(1) / np.float32(np.sqrt(len(p)))
-            total += s
-        return total / len(ws)
-
-    def predict(self, ws: list[str]) -> tuple[str, float]:
-        """(language, margin): votes in the family and between the families; the margin is that of the closest decision taken."""
-        s = self.scores(ws)
-        kind = script(ws)
-        family, sure = self._winner("", [f for f in self.groups if self.scripts[f] == kind] or list(self.groups), s)
-        language, surer = self._winner(family, self.groups[family], s)
-        return language, min(sure, surer)
-
-    def _winner(self, family: str, names: list[str], s: np.ndarray) -> tuple[str, float]:
-        if len(names) == 1:
-            return names[0], 9.0
-        votes, least = dict.fromkeys(names, 0.0), dict.fromkeys(names, 9.0)
+        self._forget()
+
+    def _place(self, word: str) -> int:
+        """Row of a word in the table of scores."""
+        at = self.place.get(word)
+        if at is None:
+            at = self.place[word] = len(self.place)
+            if at == len(self.known):
+                self.known, self.kinds = np.concatenate([self.known, np.zeros_like(self.known)]), np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+            p = pieces(word)
+            self.known[at], self.kinds[at] = self.weights[:, p].sum(1) / np.float32(np.sqrt(len(p))), letter_script(word)
+        return at
+
+    def predict_many(self, sentences: Sequence[Sequence[str]]) -> tuple[list[str], np.ndarray]:
+        """(languages, margins): votes between the families and in the family; the margin is that of the closest decision taken."""
+        if not sentences:
+            return [], np.zeros(0)
+        if len(self.place) > 300_000:
+            self._forget()
+        place = self._place
+        words = np.fromiter((place(w) for ws in sentences for w in ws), np.int64)
+        sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+        starts = np.cumsum(sizes) - sizes
+        scores = np.add.reduceat(self.known[words], starts, 0) / sizes[:, None].astype(np.float32)
+        kinds = self.kinds[words]
+        han, cyrillic = (np.add.reduceat((kinds == k).astype(np.int64), starts) * 2 > sizes for k in (2, 1))
+        kind = np.where(han, 2, np.where(cyrillic, 1, 0))
+        codes, margins = np.empty(len(sentences), object), np.empty(len(sentences))
+        for k in np.unique(kind):
+            at = np.flatnonzero(kind == k)
+            names = [f for f in self.groups if self.scripts[f] == SCRIPTS[k]] or list(self.groups)
+            family, sure = self._winners("", names, scores[at])
+            for i, name in enumerate(names):
+                own = family == i
+                language, surer = self._winners(name, self.groups[name], scores[at[own]])
+                codes[at[own]] = np.array(self.groups[name], object)[language]
+                margins[at[own]] = np.minimum(sure[own], surer)
+        return codes.tolist(), margins
+
+    def predict(self, ws: Sequence[str]) -> tuple[str, float]:
+        """(language, margin) of one sentence."""
+        codes, margins = self.predict_many([ws])
+        return codes[0], float(margins[0])
+
+    def _winners(self, family: str, names: list[str], s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the winner among the names, margin) of each row of scores."""
+        votes, least = np.zeros((len(s), len(names))), np.full((len(s), len(names)), 9.0)
         for m, (f, a, b) in enumerate(self.pairs):
-            if f == family and a in votes and b in votes:
-                v = float(s[m])
-                votes[a if v > 0 else b] += 1 + min(abs(v), 1) / 100
-                least[a], least[b] = min(least[a], v), min(least[b], -v)
-        best = max(names, key=lambda n: votes[n])
-        return best, max(0.0, least[best])
+            if f == family and a in names and b in names:
+                i, j, v = names.index(a), names.index(b), s[:, m].astype(np.float64)
+                vote = 1 + np.minimum(np.abs(v), 1) / 100
+                votes[:, i] += np.where(v > 0, vote, 0)
+                votes[:, j] += np.where(v > 0, 0, vote)
+                least[:, i], least[:, j] = np.minimum(least[:, i], v), np.minimum(least[:, j], -v)
+        best = votes.argmax(1)
+        return best, np.maximum(0.0, least[np.arange(len(s)), best])
+
+    def calibrate(self, margins: np.ndarray, agree: np.ndarray) -> None:
+        """Confidence by margin: the share of held-out sentences that agree with their label, never falling with the
+        margin, relative to the share at the widest margins, since some labels are wrong at any."""
+        order = np.argsort(margins, kind="stable")
+        if len(order) < 2 * STEPS:
+            return
+        at, share = ([c.mean() for c in np.array_split(x[order].astype(float), STEPS)] for x in (margins, agree))
+        blocks: list[list[float]] = []  # pool adjacent violators
+        for y in share:
+            blocks.append([y, 1])
+            while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+                y1, n1 = blocks.pop()
+                y0, n0 = blocks.pop()
+                blocks.append([(y0 * n0 + y1 * n1) / (n0 + n1), n0 + n1])
+        rising = np.repeat([y for y, _ in blocks], [int(n) for _, n in blocks])
+        self.curve = np.array(at), np.clip(rising / max(rising[-1], 1e-9), 0, 1)
+
+    def confidence(self, margins: np.ndarray) -> np.ndarray:
+        return np.interp(margins, *self.curve)
 
 
 def label_code(label: Column) -> Column:
@@ -187,7 +259,8 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_sentences
     labelled = documents.select("doc_id", label_code(F.col("lang")).alias("code")).where("code is not null")
     ranked = labelled.withColumn("_r", F.expr("row_number() over (partition by code order by xxhash64(doc_id), doc_id)")).where(F.col("_r") <= sample_docs)
     texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(ranked), "doc_id").select("code", "text").toArrow()  # sample_docs rows per known code
-    return fitted(sorted(zip(texts["code"].to_pylist(), texts["text"].to_pylist())), sample_sentences)
+    by_hash = lambda t: (zlib.crc32(t[1].encode("utf-8", "replace")), t)
+    return fitted(sorted(zip(texts["code"].to_pylist(), texts["text"].to_pylist()), key=by_hash), sample_sentences)
 
 
 def fitted(texts: Sequence[tuple[str, str]], sample_sentences: int = SAMPLE_SENTENCES) -> Model:
@@ -202,38 +275,61 @@ def fitted(texts: Sequence[tuple[str, str]], sample_sentences: int = SAMPLE_SENT
                 seen.add(line)
                 per[code] += 1
                 half.append((ws, code))
-    kept = []
+    kept, margins, agree = [], [], []
     for own, other in (halves, halves[::-1]):
         judge = Model(sorted({c for _, c in other}) or ["en"])
         judge.fit(other)
-        known = set(judge.families)
-        kept += [(ws, c) for ws, c in own if c not in known or judge.predict(ws)[0] == c]
+        codes, sure = judge.predict_many([ws for ws, _ in own])
+        known = np.array([c in judge.families for _, c in own], bool)
+        right = np.array([c == found for (_, c), found in zip(own, codes)], bool)
+        kept += [line for line, k, r in zip(own, known, right) if r or not k]
+        margins.append(sure[known])
+        agree.append(right[known])
     data = kept if {c for _, c in kept} == set(per) else halves[0] + halves[1]
     model = Model(sorted(per) or ["en"])
     model.fit(data)
+    model.calibrate(np.concatenate(margins), np.concatenate(agree))
     return model
 
 
-def segments(model: Model, text: str | None) -> list[tuple[int, str, float, int]]:
-    """(seg_no, language, confidence, sentences) of each maximal stretch of sentences in one language."""
-    own = sentences(text)
-    found = [model.predict(ws) for ws in own]
-    codes: list[str | None] = [c if m >= (MIN_SHORT_MARGIN if len(ws) < SHORT else MIN_MARGIN) else None for ws, (c, m) in zip(own, found)]
+Segment = tuple[int, str, float, int]
+
+
+def segments_of(model: Model, texts: Sequence[str | None]) -> list[list[Segment]]:
+    """Of each text (seg_no, language, confidence, sentences) of each maximal stretch of sentences in one language."""
+    every = [sentences(t) for t in texts]
+    codes, margins = model.predict_many([ws for own in every for ws in own])
+    sure, margins = model.confidence(margins).tolist(), margins.tolist()
+    out, at = [], 0
+    for own in every:
+        end = at + len(own)
+        out.append(_stretches(own, codes[at:end], margins[at:end], sure[at:end]))
+        at = end
+    return out
+
+
+def _stretches(own: Sequence[Sequence[str]], alone: Sequence[str], margins: Sequence[float], sure: Sequence[float]) -> list[Segment]:
+    codes: list[str | None] = [c if m >= (MIN_SHORT_MARGIN if len(ws) < SHORT else MIN_MARGIN) else None for ws, c, m in zip(own, alone, margins)]
     for i, c in enumerate(codes):
         if c is None and i:
             codes[i] = codes[i - 1]
     for i in range(len(codes) - 2, -1, -1):
         codes[i] = codes[i] or codes[i + 1]
     out: list[list] = []
-    for code, (alone, margin) in zip(codes, found):
-        code = code or alone
-        sure = 1 / (1 + np.exp(-4 * margin)) if alone == code else 0.5
+    for found, code, p in zip(alone, codes, sure):
+        code = code or found
+        p = p if code == found else INHERITED
         if out and out[-1][1] == code:
-            out[-1][2] += sure
+            out[-1][2] += p
             out[-1][3] += 1
         else:
-            out.append([len(out) + 1, code, sure, 1])
-    return [(n, c, round(float(s / k), 4), k) for n, c, s, k in out]
+            out.append([len(out) + 1, code, p, 1])
+    return [(n, c, round(s / k, 4), k) for n, c, s, k in out]
+
+
+def segments(model: Model, text: str | None) -> list[Segment]:
+    """Those of one text."""
+    return segments_of(model, [text])[0]
 
 
 def label_documents(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -243,10 +339,10 @@ def label_documents(documents: DataFrame, model: Model | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
         for b in batches:
-            rows = []
-            for d, code, text in zip(*(c.to_pylist() for c in b.columns)):
-                found = segments(sent.value, text)
-                rows += [(d, code, *s, len(found), found[0][1]) for s in found]
+            rows, (docs, labels, texts) = [], (c.to_pylist() for c in b.columns)
+            for i in range(0, len(texts), BATCH_TEXTS):
+                for d, code, found in zip(docs[i:], labels[i:], segments_of(sent.value, texts[i : i + BATCH_TEXTS])):
+                    rows += [(d, code, *s, len(found), found[0][1]) for s in found]
             columns = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "code", "seg_no", "lang", "confidence", "sentences", "segments", "first_lang"])
 

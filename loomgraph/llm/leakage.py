@@ -73,19 +73,35 @@ def myers(pattern: str, text: str, limit: int) -> int:
 
 def reach(pattern: str, text: str, budget: int) -> list[int]:
     """Words at the beginning of the pattern, each with the blank behind it, that the beginning of the text holds with 0, 1, ... budget edits."""
-    m, n, front, out = len(pattern), len(text), {}, []
+    m, n, out = len(pattern), len(text), []
+    front = [-2] * (2 * budget + 5)  # farthest letter of the pattern by diagonal, which is its place in the list less the middle
+    middle = budget + 2
     for e in range(budget + 1):
-        ahead = {}
-        for d in range(-e, e + 1):  # diagonals: a substitution or an omission takes one letter of the pattern, an addition none
-            i = max(front.get(d, -1) + 1, front.get(d + 1, -1) + 1, front.get(d - 1, -1)) if e else 0
-            i = min(i, m, n - d)
+        ahead, far = front[:], 0
+        for d in range(-e, e + 1):  # a substitution or an omission takes one letter of the pattern, an addition none
+            i = 0
+            if e:
+                at = middle + d
+                i, omitted, added = front[at] + 1, front[at + 1] + 1, front[at - 1]
+                if omitted > i:
+                    i = omitted
+                if added > i:
+                    i = added
+            if i > m:
+                i = m
+            if i > n - d:
+                i = n - d
             if i < 0 or i + d < 0:
                 continue
-            while i < m and i + d < n and pattern[i] == text[i + d]:
+            j = i + d
+            while i < m and j < n and pattern[i] == text[j]:
                 i += 1
-            ahead[d] = i
+                j += 1
+            ahead[middle + d] = i
+            if i > far:
+                far = i
         front = ahead
-        out.append(pattern.count(" ", 0, max(front.values(), default=0)))
+        out.append(pattern.count(" ", 0, far))
     return out
 
 
@@ -155,7 +171,7 @@ class Matcher:
         if lack > 0:
             more = lack + e + 1
             after = reach(" ".join(item[hi : hi + lack]) + " ", " ".join(ws[hi + shift : hi + shift + more]) + " ", e)
-            if after[e] < lack and not lo:
+            if after[e] + lo < lack:
                 return best
             before = reach(" ".join(item[max(0, lo - lack) : lo])[::-1] + " ", " ".join(ws[max(0, lo + shift - more) : lo + shift])[::-1] + " ", e)
             # words to the left and right within the edits left to each side
