@@ -3,9 +3,9 @@
 import pytest
 from oracle import DATA, compare
 
-from loomgraph.plans import core_problems, kernel_queries, scene_queries, text_geometry_queries
+from loomgraph.plans import core_problems, file_queries, kernel_queries, scene_queries, text_geometry_queries
 
-MODULES = (core_problems, scene_queries, text_geometry_queries, kernel_queries)
+MODULES = (core_problems, scene_queries, text_geometry_queries, kernel_queries, file_queries)
 CASES = [(m, name) for m in MODULES for name in m.SQL]
 
 
