@@ -74,12 +74,19 @@ def fenced(text: Column) -> Column:
 
 
 def repair_json(text: Column) -> Column:
-    """Common slips of a model's JSON: wrong separators, trailing commas, curly quotes, stray brackets, open quotes."""
+    """Common slips of a model's JSON: wrong separators, trailing commas, curly quotes, stray brackets and quotes, open quotes.
+
+    A quote that was put behind the comma at the end of a line goes before it; a quote alone between blanks within a text
+    goes. Both leave valid JSON as it is, in which a quote between blanks stands beside a separator.
+    """
     t = F.translate(text, "“”‘’", "\"\"''")
     t = F.regexp_replace(t, r';\s*"', ', "')
     t = F.translate(t, ");", "")
     t = F.regexp_replace(t, r",\s*([}\]])", "$1")
+    t = F.regexp_replace(t, r'(?m)("\w+"\s*:\s*"[^"\n]*),"[ \t]*$', '$1",')
+    t = F.regexp_replace(t, r'(?<=[^\s:,\[{]) " (?=[^\s:,\]}])', " ")
     t = F.regexp_replace(t, r'("\w+"\s*:\s*"[^"\n]*[^"\s\\,])\s*\n(\s*")', '$1",\n$2')
+    t = F.regexp_replace(t, r'("\w+"\s*:\s*"[^"\n]*[^"\s\\,]),[ \t]*\n(\s*")', '$1",\n$2')
     return F.regexp_replace(t, r'("\w+"\s*:\s*"[^"\n]*[^"\s\\,}])\s*\n(\s*})', '$1"\n$2')
 
 

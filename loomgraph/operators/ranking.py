@@ -36,26 +36,44 @@ def every_nth(df: DataFrame, keys: Sequence[str], n: int, bucket: Column, *order
     return spread_position(df, keys, bucket, *order, name="_p").where(F.col("_p") % n == 0).drop("_p")
 
 
-def scene_batches(df: DataFrame, scene: str, size: int) -> DataFrame:
-    """`batch` of each row: scenes in order, size of them per batch. Only the distinct scenes are ranked."""
-    ranked = df.select(scene).distinct().withColumn("batch", ((F.dense_rank().over(Window.orderBy(scene)) - 1) / size).cast("int"))
+def scene_batches(df: DataFrame, scene: str, size: int, block_letters: int = 7) -> DataFrame:
+    """`batch` of each row: scenes in order, size of them per batch.
+
+    Only the distinct scenes are ranked, within blocks of those that begin with the same letters; the starts of the blocks
+    are running sums over the blocks.
+    """
+    scenes = df.select(scene).distinct().withColumn("_block", F.coalesce(F.substring(scene, 1, block_letters), F.lit("")))
+    sizes = scenes.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sizes.select("_block", (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
+    ranked = scenes.join(starts, "_block").select(scene, ((F.col("_start") + position(["_block"], scene)) / size).cast("int").alias("batch"))
     return df.join(ranked, scene)
 
 
+#: Frames of a scan that share a bucket of the running count.
+FRAMES_PER_BUCKET = 512
+
+
+def _placed_frames(frames: DataFrame, scan: str, frame: str) -> DataFrame:
+    """Distinct frames with their place `_p` within the scan, which may hold any share of all rows."""
+    one = frames.select(scan, frame).distinct()
+    return spread_position(one, [scan], F.floor(F.col(frame) / FRAMES_PER_BUCKET), frame, name="_p")
+
+
 def frame_sequences(frames: DataFrame, scan: str, frame: str, length: int, stride: int) -> DataFrame:
     """scan, seq_no, frame: windows of consecutive present frames by position, one every stride; short scans give one."""
-    placed = frames.select(scan, frame).distinct().withColumn("_p", position([scan], frame))
+    placed = _placed_frames(frames, scan, frame)
     ends = placed.groupBy(scan).agg(F.count("*").alias("_n"))
     both = placed.join(ends, scan)
     last = F.greatest(F.col("_n") - length, F.lit(0))
     low = F.greatest(F.ceil((F.col("_p") - length + 1) / stride), F.lit(0)).cast("int")
     high = F.least(F.floor(F.col("_p") / stride), F.floor(last / stride)).cast("int")
-    return both.where(low <= high).select(scan, F.explode(F.sequence(low, high)).alias("seq_no"), frame)
+    return both.where(low <= high).select(scan, F.explode(F.sequence(low.cast("int"), high)).alias("seq_no"), frame)
 
 
 def random_windows(frames: DataFrame, scan: str, frame: str, length: int, ratio: float, least: int, most: int, seed: int = 42) -> DataFrame:
     """scan, seq_no, frame: windows at places drawn by hash, ratio * frames of them within [least, most]; the same on every run."""
-    placed = frames.select(scan, frame).distinct().withColumn("_p", position([scan], frame))
+    placed = _placed_frames(frames, scan, frame)
     n = placed.groupBy(scan).agg(F.count("*").alias("_n"))
     wanted = F.greatest(F.lit(1), F.least(F.greatest((F.col("_n") * ratio).cast("int"), F.lit(least)), F.lit(most)))
     draws = n.select(scan, "_n", F.explode(F.sequence(F.lit(0), wanted - 1)).alias("seq_no"))

@@ -16,6 +16,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Rows of a block of a search.
+BLOCK_ROWS = 1 << 15
+
+
+def in_blocks(items: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Every item with every query of a stated set, by an equi-join on blocks of items: each block is one key of bounded size, and nothing is broadcast."""
+    blocks = max(1, -(-items.count() // BLOCK_ROWS), items.sparkSession.sparkContext.defaultParallelism)
+    own = items.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return own.hint("shuffle_hash").join(asked, "_block").drop("_block")
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last in the order, as when a later entry overwrites."""
     rest = [c for c in df.columns if c not in keys]

@@ -38,31 +38,47 @@ def _clouds(spark: SparkSession, folder: str) -> DataFrame:
 _NEAR = BASE + ", n as (select a.node_key as a, b.node_key as b from pla a join pla b on a.scan_id = b.scan_id and a.node_key <> b.node_key where sqrt((a.y - b.y)^2 + (a.z - b.z)^2 + (a.x - b.x)^2) < 1.0), core as (select a as id from n group by a having count(*) + 1 >= 3)"
 
 
-@query(
+_CLUSTERS = (
     "with recursive "
     + _NEAR.strip().removeprefix("with ")
     + """, l as (select n.a, n.b from n join core x on x.id = n.a join core y on y.id = n.b union select id, id from core), r as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
-c as (select a as id, min(b) as cluster from r group by a), d as (select n.a as id, min(c.cluster) as cluster from n join c on c.id = n.b where n.a not in (select id from core) group by n.a)
-select p.node_key as id, coalesce(c.cluster, d.cluster, -1) as cluster from pla p left join c on c.id = p.node_key left join d on d.id = p.node_key"""
+c as (select a as id, min(b) as cluster from r group by a), d as (select n.a as id, min(c.cluster) as cluster from n join c on c.id = n.b where n.a not in (select id from core) group by n.a),
+k as (select p.scan_id as scope, p.node_key as id, coalesce(c.cluster, d.cluster) as cluster from pla p left join c on c.id = p.node_key left join d on d.id = p.node_key),
+size as (select scope, cluster, count(*) as n from k where cluster is not null group by all)
+"""
 )
+_EVERY_CORE = _CLUSTERS.replace("core as (select a as id from n group by a having count(*) + 1 >= 3)", "core as (select node_key as id from pla)")
+
+
+@query(_CLUSTERS + "select id, coalesce(cluster, -1) as cluster from k")
 def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """IT6: density clusters of the nodes of each scan, -1 for noise."""
     return graphs.dbscan(_node_points(spark, folder), 1.0, 3).select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-@query()
+@query(_CLUSTERS + ", best as (select scope, arg_max(cluster, {'n': n, 'c': -cluster}) as best from size group by scope) select k.scope, k.id from k left join best using (scope) where best is null or cluster = best")
 def largest_cluster(spark: SparkSession, folder: str) -> DataFrame:
     """IT6 IT14: the nodes of the largest cluster of each scan."""
     return graphs.largest_cluster(graphs.dbscan(_node_points(spark, folder), 1.0, 3))
 
 
-@query()
+@query(_EVERY_CORE + ", keep as (select scope, cluster from size where n >= 2 and n >= (select max(n) // 2 from size s where s.scope = size.scope)) select k.scope, k.id from k join keep using (scope, cluster)")
 def euclidean_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """IT7: nodes of clusters of at least half the largest."""
     return graphs.clusters_of_half(graphs.dbscan(_node_points(spark, folder), 1.0, 1), 2)
 
 
-@query()
+_CLOUD = BASE + ", pt as (select scan_id, instance_id, obs_id, center.x as x, center.y as y, center.z as z, count(*) over (partition by scan_id, instance_id) as n from obs where instance_id >= 0 and center.x is not null and center.y is not null and center.z is not null and not isnan(center.x) and not isnan(center.y) and not isnan(center.z))"
+
+
+@query(
+    _CLOUD
+    + """, d as (select a.scan_id, a.instance_id, a.obs_id, a.n, sqrt((a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2) as d, row_number() over (partition by a.obs_id order by (a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2) as k
+  from pt a join pt b on a.scan_id = b.scan_id and a.instance_id = b.instance_id and a.obs_id <> b.obs_id where a.n > 2),
+m as (select scan_id, instance_id, obs_id, avg(d) as m from d where k <= least(20, n - 1) group by all),
+s as (select scan_id, instance_id, avg(m) as mean, stddev_samp(m) as dev from m group by all)
+select obs_id from pt where n <= 2 union all select obs_id from m join s using (scan_id, instance_id) where m <= mean + 2 * dev + 1e-12"""
+)
 def outlier_removal(spark: SparkSession, folder: str) -> DataFrame:
     """IT5: observations of an instance that are no statistical outliers of its cloud."""
 

@@ -62,9 +62,9 @@ select query_id, vec_id, sim, rank::int as rank from r where rank <= 5"""
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """WN1 FN-V2 FL3: the 5 nearest of every vector whose id is divisible by 100, against all."""
     e = table(spark, folder, "embeddings", "vec_id", "embedding").withColumn("n", vectors.norm(F.col("embedding"))).where("n > 0")
-    q = relational.small(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("n").alias("qn")))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("n").alias("qn"))
     sim = F.round(vectors.dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("n")), 6)
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("sim", sim).where("sim > 0.2")
+    pairs = relational.in_blocks(e, q, "vec_id").where("vec_id <> query_id").withColumn("sim", sim).where("sim > 0.2")
     return ranking.top_k(pairs, ["query_id"], 5, F.desc("sim"), "vec_id").select("query_id", "vec_id", "sim", F.col("rank").cast("int").alias("rank"))
 
 
@@ -537,7 +537,7 @@ select scene, round(avg((coalesce(f, 6) <= 1)::int), 6) as hits_1, round(avg((co
 def hits_at_k(spark: SparkSession, folder: str) -> DataFrame:
     """AG19: how often the label is among the nearest, by label."""
     e = table(spark, folder, "embeddings").withColumn("n", vectors.norm(F.col("embedding"))).where("n > 0")
-    q = relational.small(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scene"), F.col("embedding").alias("q"), F.col("n").alias("qn")))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scene"), F.col("embedding").alias("q"), F.col("n").alias("qn"))
     sim = F.round(vectors.dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("n")), 6)
-    ranked = ranking.top_k(e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("sim", sim), ["query_id"], 5, F.desc("sim"), "vec_id").withColumn("hit", F.col("label") == F.col("scene"))
+    ranked = ranking.top_k(relational.in_blocks(e, q, "vec_id").where("vec_id <> query_id").withColumn("sim", sim), ["query_id"], 5, F.desc("sim"), "vec_id").withColumn("hit", F.col("label") == F.col("scene"))
     return aggregates.hits_at(ranked, "scene", "query_id", "hit", "rank", 5).select("scene", F.round("hits_1", 6).alias("hits_1"), F.round("hits_5", 6).alias("hits_5"))

@@ -85,6 +85,32 @@ def json_repair(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.size(text.complete_objects(text.normal_objects(body))).alias("objects"))
 
 
+#: Answers with one slip each, and the (name, description) that they mean.
+_SLIPS = [
+    ('[{"name": "a", "description": "b"}]', "a", "b"),
+    ('[{"name": "a"; "description": "b"}]', "a", "b"),
+    ('[{"name": "a", "description": "b",},]', "a", "b"),
+    ("[{“name”: “a”, “description”: “b”}]", "a", "b"),
+    ('[{"name": "a", "description": "b"});]', "a", "b"),
+    ('[{"name": "a",\n"description": "b c\n}]', "a", "b c"),
+    ('[{"name": "a\n"description": "b"}]', "a", "b"),
+    ('[{"name": "a,\n"description": "b"}]', "a", "b"),
+    ('[{"name": "a,"\n"description": "b"}]', "a", "b"),
+    ('[{"name": "a", "description": "an old " chair"}]', "a", "an old chair"),
+    ('[{"name": " a", "description": "b , c "}]', " a", "b , c "),
+    ('{"objects": [ { "name" : "a" , "description" : "b" } ]}', "a", "b"),
+    ('```json\n[{"name": "a", "description": "b"},]\n```', "a", "b"),
+]
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{n}', '{d}')" for i, (_, n, d) in enumerate(_SLIPS)) + ") as t(slip, name, description)")
+def json_slips(spark: SparkSession, folder: str) -> DataFrame:
+    """FN-J2: every step of the repair on an answer with that slip."""
+    d = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(_SLIPS)], "slip int, text string")
+    o = text.normal_objects(text.repair_json(text.fenced(F.col("text"))))
+    return d.select("slip", o.alias("o")).select("slip", F.col("o")[0]["name"].alias("name"), F.col("o")[0]["description"].alias("description"))
+
+
 @query("select event_id, json_extract(props, '$.k')::int as k, lpad(event_id::varchar, 6, '0') as padded, base64(encode(event_type)) as b64 from events")
 def json_field(spark: SparkSession, folder: str) -> DataFrame:
     """FN-J4 PR6: a field of a JSON text, padded numbers and base 64."""
