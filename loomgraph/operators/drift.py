@@ -106,7 +106,8 @@ def _by_type(target: str, rules: DriftRules, e: Column) -> tuple[Column, Column]
         return F.when(kind.isin("WHOLE", "FRACTION"), F.try_variant_get(v, "$", "double")), F.trim(text).try_cast("double")
     if target == "string":
         return text, F.when(kind.isNotNull() & (kind != "STRING"), F.to_json(v))
-    return F.when(kind.isNotNull() & kind.startswith("ARRAY<"), F.try_variant_get(v, "$", target)), F.lit(None).cast(target)
+    none = F.when(e["schema"] == "ARRAY<VOID>", F.expr("array()").cast(target))
+    return F.when(kind.isNotNull() & kind.startswith("ARRAY<"), F.try_variant_get(v, "$", target)).otherwise(none), F.lit(None).cast(target)
 
 
 KEEP = ("series", "file_name", "file_no", "line_no", "written_at")

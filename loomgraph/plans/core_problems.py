@@ -52,6 +52,49 @@ def p1_unknown(spark: SparkSession, folder: str) -> DataFrame:
     return drift.schema_changes(drift.ingest(table(spark, folder, "matcher_raw")), unknown=True)
 
 
+_BY_TYPE = {"array<array<double>>": "m", "array<int>": "a", "int": "i", "double": "d", "string": "s"}
+_OF_TYPE = {c: ", ".join(f"'{n}'" for n, (t, _) in drift.MATCHER_FIELDS.items() if _BY_TYPE[t] == c) for c in "maids"}
+_CHOSEN = ", ".join(f"arg_min({_BY_TYPE[t]}, {{'r': rank, 'k': key}}) filter (field = '{n}' and rank < 2) as {n}" for n, (t, _) in drift.MATCHER_FIELDS.items())
+_TYPED = f"""
+with recs as (select distinct raw_id, series, file_no, file_name, payload, coalesce(json_valid(payload) and json_type(case when json_valid(payload) then payload end) = 'OBJECT', false) as readable from matcher_raw),
+keyed as (select raw_id, series, file_no, unnest(json_keys(payload)) as key, payload from recs where readable),
+vals as (select *, case {_SPELLED} end as field, json_extract(payload, '$."' || key || '"') as v from keyed),
+kinds as (select *, nullif(nullif(nullif(regexp_replace(json_structure(v)::varchar, 'UBIGINT|BIGINT|HUGEINT', 'WHOLE', 'g'), '"NULL"'), '["NULL"]'), '[["NULL"]]') as kind, case when json_type(v) = 'VARCHAR' then v->>'$' end as t from vals),
+forms as (select *,
+  case when kind in ('[["DOUBLE"]]', '[["WHOLE"]]') then try_cast(v as double[][]) when json_type(v) = 'ARRAY' and regexp_full_match(v::varchar, '[\[\],\snul]+') then []::double[][] end as m0,
+  case when kind = '"VARCHAR"' and regexp_matches(t, '^\s*\[') then try_cast(case when json_valid(t) then t end::json as double[][])
+    when kind = '"VARCHAR"' then case when list_bool_and(list_transform(string_split(replace(t, ';', ','), ','), lambda x: try_cast(trim(x) as double) is not null)) then list_transform(string_split(t, ';'), lambda r: list_transform(string_split(r, ','), lambda x: try_cast(trim(x) as double))) end
+    when kind like '[{{%' then list_transform(json_extract(v, '$[*]'), lambda o: [(o->>'h')::double, (o->>'w')::double, (o->>'l')::double])
+    when kind in ('["DOUBLE"]', '["WHOLE"]') and json_array_length(v) % 3 = 0 then list_transform(range(0, json_array_length(v)::bigint, 3), lambda i: try_cast(v as double[])[i + 1:i + 3]) end as m1,
+  case when kind = '"WHOLE"' then try_cast(v->>'$' as int) end as i0,
+  case when kind = '"VARCHAR"' and regexp_full_match(t, '\s*[+-]?\d+\s*') then try_cast(trim(t) as int) when kind = '"DOUBLE"' and (v->>'$')::double = floor((v->>'$')::double) then try_cast((v->>'$')::double as int) end as i1,
+  case when kind in ('"WHOLE"', '"DOUBLE"') then (v->>'$')::double end as d0, case when kind = '"VARCHAR"' then try_cast(trim(t) as double) end as d1,
+  case when kind = '"VARCHAR"' then t end as s0, case when kind is not null then v::varchar end as s1,
+  case when kind like '[%' then try_cast(v as int[]) when json_type(v) = 'ARRAY' and regexp_full_match(v::varchar, '[\[\],\snul]+') then []::int[] end as a0, null::int[] as a1 from kinds),
+ranked as (select *, {', '.join(f"case when field in ({_OF_TYPE[c]}) then coalesce({c}0, {c}1) end as {c}" for c in 'maids')},
+  case when {' or '.join(f"(field in ({_OF_TYPE[c]}) and {c}0 is not null)" for c in 'maids')} then 0 when {' or '.join(f"(field in ({_OF_TYPE[c]}) and {c}1 is not null)" for c in 'maids')} then 1 when kind is not null then 2 else 3 end as rank from forms),
+first as (select raw_id, field, min({{'r': rank, 'k': key}}).r as rank, arg_min(kind, {{'r': rank, 'k': key}}) as kind from ranked where field is not null group by all),
+again as (select raw_id, list(field) as fields from first where rank = 1 group by all),
+peaks as (select r.raw_id, any_value(series) as series, any_value(file_no) as file_no, any_value(case when f.kind = '[["WHOLE"]]' then coalesce(list_max(list_transform(flatten(m), lambda x: abs(x))), 0) when contains(f.kind, 'DOUBLE') then -1 end) as peak
+  from ranked r join first f on f.raw_id = r.raw_id and f.field = r.field and f.rank = r.rank where r.field = 'text_embedding0' group by r.raw_id),
+quant as (select series, file_no from peaks group by all having min(peak) >= 0 and max(peak) > 1),
+rest as (select raw_id, list(key order by key) as rescued from ranked where field is null or rank = 2 group by raw_id),
+chosen as (select raw_id, {_CHOSEN} from ranked group by raw_id),
+scaled as (select c.* replace (case when q.series is not null and p.peak >= 0 and not coalesce(list_contains(a.fields, 'text_embedding0'), false) then list_transform(text_embedding0, lambda r: list_transform(r, lambda x: x * 0.01::double)) else text_embedding0 end as text_embedding0),
+  q.series is not null and p.peak >= 0 and not coalesce(list_contains(a.fields, 'text_embedding0'), false) as quantised, a.fields from chosen c left join again a using (raw_id) left join peaks p using (raw_id) left join quant q on q.series = p.series and q.file_no = p.file_no)
+select r.raw_id, r.file_name, r.readable, s.* exclude (raw_id, quantised, fields), coalesce(array_to_string(list_sort(list_concat(coalesce(fields, []), case when quantised then ['text_embedding0'] else [] end)), ','), '') as replayed,
+  coalesce(array_to_string(rescued, ','), '') as rescued from recs r left join scaled s using (raw_id) left join rest using (raw_id)
+"""
+
+
+@query(_TYPED)
+def p1_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed columns of the ingested table, with the names of the replayed fields and of the rescued keys."""
+    t = drift.ingest(table(spark, folder, "matcher_raw"))
+    keys = F.array_sort(F.map_keys(F.from_json("_rescued", "map<string,string>")))
+    return t.select("raw_id", "file_name", F.col("_readable").alias("readable"), *drift.MATCHER_FIELDS, F.coalesce(F.array_join("_replayed", ","), F.lit("")).alias("replayed"), F.coalesce(F.array_join(keys, ","), F.lit("")).alias("rescued"))
+
+
 @query()
 def p1_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.ingest(table(spark, folder, "matcher_raw"))
