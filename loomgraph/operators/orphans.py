@@ -75,8 +75,9 @@ def references(correspondence: DataFrame) -> DataFrame:
 def orphan_references(correspondence: DataFrame, name_map: DataFrame) -> DataFrame:
     """corr_id, ref_column, reason, matched_at of every reference to no instance standing when it was matched."""
     keys = ["_scan", "_instance"]
-    parents = name_map.select("map_row_id", scan_id(F.col("scan_id")).alias("_scan"), F.col("instance_id").alias("_instance"), "added_at", "removed_at").dropDuplicates(["map_row_id"]).where("_scan is not null and _instance is not null")
-    refs = probe(references(correspondence), parents, keys)
+    every = name_map.select("map_row_id", scan_id(F.col("scan_id")).alias("_scan"), F.col("instance_id").alias("_instance"), "added_at", "removed_at").where("_scan is not null and _instance is not null")
+    parents = every.dropDuplicates(["map_row_id"])
+    refs = probe(references(correspondence), every, keys)  # repeated rows have repeated keys, which the filter takes once
     proven = refs.where("not _maybe").select("corr_id", "ref_column", F.lit("missing").alias("reason"), "matched_at")
     at = F.coalesce(F.col("matched_at"), F.lit("9999-12-31").cast("timestamp_ntz"))
     stands = (F.col("added_at") <= at) & (F.col("removed_at").isNull() | (F.col("removed_at") > at))

@@ -55,7 +55,7 @@ def p1_unknown(spark: SparkSession, folder: str) -> DataFrame:
 _BY_TYPE = {"array<array<double>>": "m", "array<int>": "a", "int": "i", "double": "d", "string": "s"}
 _OF_TYPE = {c: ", ".join(f"'{n}'" for n, (t, _) in drift.MATCHER_FIELDS.items() if _BY_TYPE[t] == c) for c in "maids"}
 _CHOSEN = ", ".join(f"arg_min({_BY_TYPE[t]}, {{'r': rank, 'k': key}}) filter (field = '{n}' and rank < 2) as {n}" for n, (t, _) in drift.MATCHER_FIELDS.items())
-_TYPED = f"""
+_TYPED = rf"""
 with recs as (select distinct raw_id, series, file_no, file_name, payload, coalesce(json_valid(payload) and json_type(case when json_valid(payload) then payload end) = 'OBJECT', false) as readable from matcher_raw),
 keyed as (select raw_id, series, file_no, unnest(json_keys(payload)) as key, payload from recs where readable),
 vals as (select *, case {_SPELLED} end as field, json_extract(payload, '$."' || key || '"') as v from keyed),

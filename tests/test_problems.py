@@ -204,3 +204,16 @@ def test_changes_of_unknown_keys_and_of_files_without_known_ones(spark):
     assert changes(spark, rows) == {("a/1", "frame_id", "removed"), ("a/2", "frame_id", "added"), ("a/3", "frame_id", "removed")}
     unknown = drift.schema_changes(drift.ingest(raw(spark, rows)), unknown=True).collect()
     assert {tuple(r) for r in unknown} == {("a/1", "mystery", "added"), ("a/2", "mystery", "type_changed"), ("a/3", "mystery", "removed")}
+
+
+def test_a_filter_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    parents = spark.range(20000).select(F.lit("s").alias("_scan"), F.col("id").cast("int").alias("_instance"))
+    refs = parents.union(parents.select("_scan", F.col("_instance") + 1_000_000))
+    small = orphans.probe(refs, parents, ["_scan", "_instance"])
+    monkeypatch.setattr(orphans, "BROADCAST_BLOCKS", 0)
+    large = orphans.probe(refs, parents, ["_scan", "_instance"])
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert small.where("_maybe").count() == large.where("_maybe").count() >= 20000
