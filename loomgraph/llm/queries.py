@@ -74,7 +74,8 @@ c as (select x, min(y) as root from r group by x)
 
 @query(_GROUPS + "select match_id, c.root as group_scene from n join c on c.x = coalesce(n.a, n.b)")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.scene_groups(table(spark, folder, "matcher_row"))
+    """Every row with a split, by the group that the split was given to."""
+    return splits.assign_splits(splits.scene_groups(table(spark, folder, "matcher_row"))).where("split is not null").select("match_id", "group_scene")
 
 
 @query()
