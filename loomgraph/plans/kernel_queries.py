@@ -150,6 +150,18 @@ def embedding_matching(spark: SparkSession, folder: str) -> DataFrame:
     return _matched(spark, folder, "text_embedding", "coalesce(lower(trim(name)), '') <> 'unknown'", 0.4)
 
 
+ALIGNED = "scan_id string, pairs int, agreeing int, t array<double>"
+
+
+def _aligned(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Transform of one scan out of its pairs of points."""
+    pdf = pdf.sort_values(["node_id"])
+    a, b = np.vstack(pdf["a"]), np.vstack(pdf["b"])
+    good, t = kernels.ransac_fit(a, b, 0.3)
+    t = kernels.icp(a, b, 0.3, start=t)
+    return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "pairs": [len(a)], "agreeing": [int(good.sum())], "t": [t.ravel().tolist()]})
+
+
 @query()
 def registration(spark: SparkSession, folder: str) -> DataFrame:
     """IT9 IT10 SK11: transform of each rescan onto its first scan, from the corresponding nodes, by consensus, then refined."""
@@ -157,14 +169,7 @@ def registration(spark: SparkSession, folder: str) -> DataFrame:
     c = correspondence(spark, folder).where("instance_id_in_00 <> -1").select("scan_id", "first_scan", F.col("instance_id").alias("node_id"), "instance_id_in_00")
     both = c.join(at.withColumnRenamed("p", "a"), ["scan_id", "node_id"]).join(at.select(F.col("scan_id").alias("first_scan"), F.col("node_id").alias("instance_id_in_00"), F.col("p").alias("b")), ["first_scan", "instance_id_in_00"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["node_id"])
-        a, b = np.vstack(pdf["a"]), np.vstack(pdf["b"])
-        good, t = kernels.ransac_fit(a, b, 0.3)
-        t = kernels.icp(a, b, 0.3, start=t)
-        return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "pairs": [len(a)], "agreeing": [int(good.sum())], "t": [t.ravel().tolist()]})
-
-    return kernels.per_group(both.select("scan_id", "node_id", "a", "b"), ["scan_id"], run, "scan_id string, pairs int, agreeing int, t array<double>")
+    return kernels.per_group(both.select("scan_id", "node_id", "a", "b"), ["scan_id"], _aligned, ALIGNED)
 
 
 @query()
@@ -210,17 +215,48 @@ def mask_matching(spark: SparkSession, folder: str) -> DataFrame:
     return matching.mask_overlap(m.where("id = 0"), m.where("id <> 0")).withColumn("iou", F.round("iou", 6))
 
 
-@query()
-def training_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """JN4 PR1 PR2 PR7 FN-V7 FN-V8 FN-V9: rows of rescans' frames against the map of the first scan, in one joint range."""
-    o = observations(spark, folder, "scan_id", "frame_id", "instance_id", "center", "bbox_size").where("instance_id >= 0 and frame_id is not null and center is not null and bbox_size is not null and not scan_id like '%\\_00'")
+def _training(spark: SparkSession, folder: str, **shape: bool) -> DataFrame:
+    """Rows of rescans' frames against the map of the first scan."""
+    o = observations(spark, folder, "scan_id", "frame_id", "instance_id", "center", "bbox_size", "feature", "bert_embedding").where("instance_id >= 0 and frame_id is not null and center is not null and bbox_size is not null and not scan_id like '%\\_00'")
     first = first_scan_id(F.col("scan_id"))
-    source = o.select(F.concat_ws("/", "scan_id", F.col("frame_id").cast("string")).alias("frame"), first.alias("map"), F.concat_ws("/", "scan_id", F.col("instance_id").cast("string")).alias("id"), *[F.col(f"center.{c}").alias(c) for c in "xyz"], F.col("bbox_size.y").alias("h"), F.col("bbox_size.x").alias("w"), F.col("bbox_size.z").alias("l"))
-    n = placed_nodes(spark, folder, "scan_id", "name", "shape").where("scan_id like '%\\_00' and name is not null and lower(trim(name)) <> 'unknown'")
-    target = n.select(F.col("scan_id").alias("map"), F.col("node_key").alias("ord"), F.concat_ws("/", "scan_id", F.col("node_id").cast("string")).alias("id"), "x", "y", "z", F.col("shape.height").cast("double").alias("h"), F.col("shape.width").cast("double").alias("w"), F.col("shape.length").cast("double").alias("l"))
+    source = o.select(F.concat_ws("/", "scan_id", F.col("frame_id").cast("string")).alias("frame"), first.alias("map"), F.concat_ws("/", "scan_id", F.col("instance_id").cast("string")).alias("id"), *[F.col(f"center.{c}").alias(c) for c in "xyz"], F.col("bbox_size.y").alias("h"), F.col("bbox_size.x").alias("w"), F.col("bbox_size.z").alias("l"), "feature", F.col("bert_embedding").alias("text"))
+    n = placed_nodes(spark, folder, "scan_id", "name", "shape", "visual_embedding", "text_embedding").where("scan_id like '%\\_00' and name is not null and lower(trim(name)) <> 'unknown'")
+    target = n.select(F.col("scan_id").alias("map"), F.col("node_key").alias("ord"), F.concat_ws("/", "scan_id", F.col("node_id").cast("string")).alias("id"), "x", "y", "z", F.col("shape.height").cast("double").alias("h"), F.col("shape.width").cast("double").alias("w"), F.col("shape.length").cast("double").alias("l"), F.col("visual_embedding").alias("feature"), F.col("text_embedding").alias("text"))
     c = correspondence(spark, folder).where("instance_id_in_00 <> -1")
     truth = c.select(F.col("first_scan").alias("map"), F.concat_ws("/", "scan_id", F.col("instance_id").cast("string")).alias("id"), F.concat_ws("/", "first_scan", F.col("instance_id_in_00").cast("string")).alias("target_id")).distinct()
-    return matching.matcher_rows(source, target, truth)
+    return matching.matcher_rows(source, target, truth, **shape)
+
+
+@query()
+def training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """JN4 PR1 PR2 PR7 FN-V7 FN-V8 FN-V9: keypoints, descriptors and boxes, in one joint range."""
+    return _training(spark, folder)
+
+
+@query()
+def training_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """PR7: the full row, with the embeddings of the names, the scene and the map."""
+    return _training(spark, folder, texts=True)
+
+
+_SIZES = """, src as (select scan_id || '/' || frame_id as frame, scan_id, regexp_extract(scan_id, '(scene\\d+)_', 1) || '_00' as map, scan_id || '/' || instance_id as id, center.x as x, center.y as y, center.z as z from obs
+  where instance_id >= 0 and frame_id is not null and center is not null and bbox_size is not null and not scan_id like '%\\_00' escape '\\'),
+tgt as (select scan_id as map, row_number() over (partition by scan_id order by node_key) - 1 as pos, scan_id || '/' || node_id as id, x, y, z from pla where scan_id like '%\\_00' escape '\\' and name is not null and lower(trim(name)) <> 'unknown'),
+allp as (select map, unnest([x, y, z]) as v, [x, y, z] as p from src union all select map, unnest([x, y, z]), [x, y, z] from tgt),
+bound as (select map, min(v) as lo, max(v) as hi from allp group by map),
+tru as (select distinct first_scan as map, scan_id || '/' || instance_id as id, first_scan || '/' || instance_id_in_00 as target_id from cor where instance_id_in_00 <> -1),
+hop as (select tru.map, tru.id, min(pos) as match from tru join tgt on tgt.map = tru.map and tgt.id = tru.target_id group by all),
+rows as (select src.map, src.frame, count(*) as objects, round(sum((x - (lo - 0.1 * (hi - lo))) / (1.2 * (hi - lo))), 5) as x_sum, sum(coalesce(match, -1))::bigint as match_sum from src join bound using (map) left join hop on hop.map = src.map and hop.id = src.id group by all having count(*) >= 2),
+maps as (select map, count(*) as nodes from tgt group by map)
+select frame as frame_id, map as scene_graph_id, objects::int as objects, nodes::int as nodes, x_sum, match_sum from rows join maps using (map)"""
+
+
+@query(BASE + _SIZES)
+def training_points(spark: SparkSession, folder: str) -> DataFrame:
+    """PR7: the shape without boxes; of each row its objects, the nodes of its map, and the sums of first coordinates and of matches."""
+    t = _training(spark, folder, boxes=False)
+    plus = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, v: a + f(v))
+    return t.select("frame_id", "scene_graph_id", F.size("keypoints0").alias("objects"), F.size("keypoints1").alias("nodes"), F.round(plus("keypoints0", lambda p: p[0]), 5).alias("x_sum"), plus("matches0", lambda m: m).cast("long").alias("match_sum"))
 
 
 # streams

@@ -276,7 +276,11 @@ def test_training_rows(spark):
     source = spark.createDataFrame([("f", "m", "a", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), ("f", "m", "b", 1.0, 1.0, 1.0, 9.0, 1.0, 1.0), ("g", "m", "a", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "frame string, map string, id string, x double, y double, z double, h double, w double, l double")
     target = spark.createDataFrame([("m", 5, "A", 0.5, 0.5, 0.5, 1.0, 1.0, 1.0), ("m", 2, "B", 1.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "map string, ord int, id string, x double, y double, z double, h double, w double, l double")
     truth = spark.createDataFrame([("m", "a", "A"), ("m", "z", "B")], "map string, id string, target_id string")
+    source, target = (df.withColumns({"feature": F.array(F.lit(1.0)), "text": F.array(F.col("x"))}) for df in (source, target))
     rows = matching.matcher_rows(source, target, truth).collect()
+    assert "bbox0" not in matching.matcher_rows(source, target, truth, boxes=False).columns and "text_embedding0" not in rows[0]
+    full = matching.matcher_rows(source, target, truth, texts=True).first()
+    assert full["text_embedding0"] == [[0.0], [1.0]] and full["text_embedding1"] == [[1.0], [0.5]] and full["frame_scene"] == "f" and full["descriptors1"] == [[1.0]] * 2
     assert len(rows) == 1 and rows[0]["matches0"] == [1, -1] and rows[0]["bbox0"][1][0] == 1.0
     assert rows[0]["keypoints0"][0] == pytest.approx([1 / 12] * 3) and len(rows[0]["keypoints1"]) == 2
 

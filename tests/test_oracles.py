@@ -15,7 +15,7 @@ def test_equals_sql(spark, module, name):
     assert (ours, extra, missing) == (theirs, [], [])
 
 
-@pytest.mark.parametrize("name", ["p1_table", "p5_files", "outlier_removal", "principal_boxes", "random_windows", "augmented_objects", "training_rows", "instance_matching", "registration", "json_repair", "random_scenes", "box_suppression", "entity_resolution", "stream_queue_one"])
+@pytest.mark.parametrize("name", ["p1_table", "principal_boxes", "random_windows", "augmented_objects", "training_rows", "training_texts", "instance_matching", "registration", "json_repair", "random_scenes", "box_suppression", "entity_resolution", "stream_queue_one"])
 def test_same_rows_twice(spark, name):
     f = next(m.QUERIES[name] for m in MODULES if name in m.QUERIES)
     folder = str(DATA / "sf0.001")
