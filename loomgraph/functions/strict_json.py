@@ -30,7 +30,7 @@ def json_lines(lines: Column) -> Column:
 
     The lines stand between marks in one array. All marks lie in their places of the array itself only if every line is one value.
     """
-    objects = ~F.exists(lines, lambda x: ~F.coalesce(x.rlike(r"(?s)^\s*\{.*\}\s*$") & ~x.contains(_END), F.lit(False)))
+    objects = ~F.exists(lines, lambda x: ~F.coalesce(x.rlike(r"^\s*\{") & x.rlike(r"\}\s*$") & ~x.contains(_END), F.lit(False)))
     every = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.array_join(lines, f',"{_END}",'), F.lit(f',"{_END}"]'))), "$", "array<variant>")
     mark = lambda v, i: (i % 2 == 0) | (F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")) == "\x01end\x01")
     good = lambda vs: (F.size(vs) == 2 * F.size(lines)) & F.forall(F.transform(vs, mark), lambda x: x)

@@ -44,10 +44,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     """file_id, file_path, modified_at, _docs: the JSON documents of a readable file, null for a broken one."""
     one = files.select("file_id", "file_path", "modified_at", "file_content").dropDuplicates(["file_id"])
     text = F.coalesce(F.col("file_content"), F.lit(""))
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
-    blank = F.when(F.length(F.regexp_replace(text, r"\s", "")) == 0, F.expr("cast(array() as array<variant>)"))
+    # only a text that begins with an object and has line ends can be one object per line
+    several = text.rlike(r"^\s*\{") & text.contains("\n")
+    lines = F.when(several, F.filter(F.split(text, r"\r?\n"), lambda x: F.length(F.trim(x)) > 0))
+    blank = F.when(text.rlike(r"^\s*$"), F.expr("cast(array() as array<variant>)"))
     whole = F.filter(F.array(strict_json(text)), lambda v: v.isNotNull())
-    docs = F.coalesce(blank, json_lines(F.col("_lines")), F.when(F.size(whole) > 0, whole))
+    docs = F.coalesce(blank, F.when(F.col("_lines").isNotNull(), json_lines(F.col("_lines"))), F.when(F.size(whole) > 0, whole))
     return one.withColumn("_lines", lines).select("file_id", "file_path", "modified_at", docs.alias("_docs"))
 
 
