@@ -27,23 +27,20 @@ def matrix_from_quaternion(x: Column, y: Column, z: Column, w: Column) -> Column
 
 
 def quaternion_from_matrix(m: Column) -> Column:
-    """Unit quaternion of a rotation matrix, from whichever of its four components is largest."""
-    a = [[m[i][j] for j in range(3)] for i in range(3)]
-    trace = a[0][0] + a[1][1] + a[2][2]
-
-    def struct(x: Column, y: Column, z: Column, w: Column) -> Column:
-        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"), w.alias("w"))
-
-    s = F.sqrt(F.greatest(trace + 1, F.lit(1e-12))) * 2
-    sx = F.sqrt(F.greatest(1 + a[0][0] - a[1][1] - a[2][2], F.lit(1e-12))) * 2
-    sy = F.sqrt(F.greatest(1 + a[1][1] - a[0][0] - a[2][2], F.lit(1e-12))) * 2
-    sz = F.sqrt(F.greatest(1 + a[2][2] - a[0][0] - a[1][1], F.lit(1e-12))) * 2
-    return (
-        F.when(trace > 0, struct((a[2][1] - a[1][2]) / s, (a[0][2] - a[2][0]) / s, (a[1][0] - a[0][1]) / s, s / 4))
-        .when((a[0][0] > a[1][1]) & (a[0][0] > a[2][2]), struct(sx / 4, (a[0][1] + a[1][0]) / sx, (a[0][2] + a[2][0]) / sx, (a[2][1] - a[1][2]) / sx))
-        .when(a[1][1] > a[2][2], struct((a[0][1] + a[1][0]) / sy, sy / 4, (a[1][2] + a[2][1]) / sy, (a[0][2] - a[2][0]) / sy))
-        .otherwise(struct((a[0][2] + a[2][0]) / sz, (a[1][2] + a[2][1]) / sz, sz / 4, (a[1][0] - a[0][1]) / sz))
-    )
+    """Unit quaternion of a rotation matrix, whose largest component is positive.
+
+    The products of its components follow from sums and differences of the matrix's entries; the row of products with the
+    largest square is the quaternion, but for its length.
+    """
+    e = lambda i, j: m[i][j]
+    xy, xz, yz = e(0, 1) + e(1, 0), e(0, 2) + e(2, 0), e(1, 2) + e(2, 1)
+    xw, yw, zw = e(2, 1) - e(1, 2), e(0, 2) - e(2, 0), e(1, 0) - e(0, 1)
+    own = [e(i, i) for i in range(3)]
+    squares = [1 + 2 * own[i] - (own[0] + own[1] + own[2]) for i in range(3)] + [1 + own[0] + own[1] + own[2]]
+    products = [(squares[0], xy, xz, xw), (xy, squares[1], yz, yw), (xz, yz, squares[2], zw), (xw, yw, zw, squares[3])]
+    best = F.array_max(F.array(*[F.struct(square.alias("square"), F.array(*row).alias("row")) for square, row in zip(squares, products)]))
+    length = 2 * F.sqrt(F.greatest(best["square"], F.lit(1e-12)))
+    return F.struct(*[(best["row"][i] / length).alias(c) for i, c in enumerate("xyzw")])
 
 
 def transform_point(t: Column, p: Column) -> Column:

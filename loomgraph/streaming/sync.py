@@ -49,6 +49,10 @@ PAIR = "key long, a long, b long, gap double"
 def _pair(slop: float):
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = {"left": None, "right": None}
+        if state.hasTimedOut:  # nothing that may still come is near enough to what waits
+            state.remove()
+            yield pd.DataFrame([], columns=["key", "a", "b", "gap"])
+            return
         if state.exists:
             values = state.get
             last = {"left": (values[0], values[1]) if values[0] is not None else None, "right": (values[2], values[3]) if values[2] is not None else None}
@@ -63,15 +67,21 @@ def _pair(slop: float):
                 last = {"left": None, "right": None}
         flat = [x for t in ("left", "right") for x in (last[t] or (None, None))]
         state.update(tuple(flat))
+        newest = max((x[1] for x in last.values() if x), default=0.0)
+        state.setTimeoutTimestamp(int(max((newest + slop) * 1000, state.getCurrentWatermarkMs())) + 1)
         yield pd.DataFrame(out, columns=["key", "a", "b", "gap"])
 
     return run
 
 
-def latest_pairs(both: DataFrame, slop: float) -> DataFrame:
-    """One-to-one pairs with a queue of one per topic: a row pairs with the other topic's last unpaired row if near enough. both: key, topic (left or right), id, ts."""
-    rows = both.select("key", "topic", "id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(_pair(slop), PAIR, "left_id long, left_at double, right_id long, right_at double", "append", "NoTimeout")
+def latest_pairs(both: DataFrame, slop: float, late: str = "1 hour") -> DataFrame:
+    """One-to-one pairs with a queue of one per topic: a row pairs with the other topic's last unpaired row if near enough. both: key, topic (left or right), id, ts.
+
+    A waiting row is forgotten once the watermark has passed it by the slop. Rows are taken in order within a batch; one that
+    comes in a later batch than newer rows is paired with what waits then.
+    """
+    rows = both.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("ts", "key", "topic", "id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return rows.groupBy("key").applyInPandasWithState(_pair(slop), PAIR, "left_id long, left_at double, right_id long, right_at double", "append", "EventTimeTimeout")
 
 
 def latest(stream: DataFrame, key: str, value: str, ts: str) -> DataFrame:
