@@ -9,6 +9,7 @@ from loomgraph.functions import geometry, text, vectors
 from loomgraph.operators import augment, graphs, ranking, relational, spatial
 from loomgraph.plans.registry import registry
 from loomgraph.plans.scene_queries import BASE, matcher_rows, nodes, observations, placed_nodes
+from loomgraph.session import cut_lineage
 from loomgraph.sources import files, sinks
 from loomgraph.tables import table
 
@@ -297,6 +298,7 @@ def subscan_ranges(spark: SparkSession, folder: str) -> DataFrame:
 def _graph_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     n = placed_nodes(spark, folder, "scan_id", "name", "visual_embedding", "text_embedding", "shape", "id", "node_position").where("node_id is not null")
     n = relational.first_per_key(n.withColumnRenamed("node_position", "position"), ["scan_id", "id"], ["node_key"])
+    n = cut_lineage(n.select("scan_id", "id", "name", "visual_embedding", "text_embedding", "shape", "position", "x", "y", "z"))  # read by both sides of the join and by the documents
     p = n.select(F.col("scan_id").alias("scope"), "id", "x", "y", "z")
     e = spatial.radius_pairs(p, 1.0).select(F.col("scope").alias("scan_id"), F.lit("default").alias("hypothesis_id"), F.lit(1.0).cast("float").alias("confidence"), F.col("id1").alias("source_id"), F.col("id2").alias("target_id"), F.col("dist").cast("float").alias("distance"), F.array(F.lit(0.0).cast("float")).alias("direction"), F.lit("").alias("description"))
     return n, e
