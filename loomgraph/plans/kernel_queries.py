@@ -312,9 +312,8 @@ def map_construction(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = pipelines.build_maps(observations(spark, folder, "scan_id", "instance_id", "object_name", "feature", "center"), radius=1.0)
     g = files.parse_graph(docs.select(F.col("scan_id").alias("file_path"), F.col("json").alias("value")))
-    n = files.graph_nodes(g).groupBy("file_path").agg(F.count("*").alias("nodes"))
-    e = files.graph_edges(g).groupBy("file_path").agg(F.count("*").alias("edges"))
-    return n.join(e, "file_path", "left").select(F.col("file_path").alias("scan_id"), "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
+    sizes = files.graph_sizes(g).groupBy(F.col("file_path").alias("scan_id")).agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))
+    return sizes.where("nodes > 0")
 
 
 @query(

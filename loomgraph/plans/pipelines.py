@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.vectors import zeros
 from loomgraph.operators import aggregates, relational, spatial
 from loomgraph.operators.filters import named
+from loomgraph.session import cut_lineage
 from loomgraph.sources import sinks
 
 
@@ -29,10 +30,15 @@ def build_edges(nodes: DataFrame, radius: float = 2.0) -> DataFrame:
 
 
 def build_maps(observations: DataFrame, radius: float = 2.0, least: int = 2) -> DataFrame:
-    """scan_id, json: the graph document of each scan."""
-    n = build_nodes(observations, least)
+    """scan_id, part, json: the graph document of each scan, in parts where it is large.
+
+    The nodes are kept once: means summed up again in another order differ in the last digit, which would put a node into
+    another cell on one side of the join, and so find a pair twice or not at all.
+    """
+    n = build_nodes(observations, least).withColumn("feature", F.col("feature").cast("array<float>"))
+    n = cut_lineage(n.select("scan_id", "id", "name", "feature", "x", "y", "z"))
     e = build_edges(n, radius).select("scan_id", F.lit("default").alias("hypothesis_id"), F.lit(1.0).cast("float").alias("confidence"), F.col("id1").cast("string").alias("source_id"), F.col("id2").cast("string").alias("target_id"), F.col("dist").cast("float").alias("distance"), F.lit(None).cast("array<float>").alias("direction"), F.lit("").alias("description"))
-    node = n.select("scan_id", F.col("id").cast("string").alias("id"), "name", F.col("feature").cast("array<float>").alias("visual_embedding"), F.lit(None).cast("array<float>").alias("text_embedding"), F.lit(None).cast("struct<radius:float>").alias("shape"), F.array("x", "y", "z").cast("array<float>").alias("position"))
+    node = n.select("scan_id", F.col("id").cast("string").alias("id"), "name", F.col("feature").alias("visual_embedding"), F.lit(None).cast("array<float>").alias("text_embedding"), F.lit(None).cast("struct<radius:float>").alias("shape"), F.array("x", "y", "z").cast("array<float>").alias("position"))
     return sinks.graph_documents(node, e, "scan_id")
 
 

@@ -79,6 +79,13 @@ def graph_edges(graphs: DataFrame) -> DataFrame:
     return h.select("file_path", "hypothesis_id", F.coalesce("h.confidence", F.lit(0.0)).alias("confidence"), F.explode("h.edges").alias("key", "e")).select("file_path", "hypothesis_id", "confidence", "e.*")
 
 
+def graph_sizes(graphs: DataFrame) -> DataFrame:
+    """file_path, nodes, edges of each graph document, or part of one: how many rows graph_nodes and graph_edges have of it."""
+    many = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)).cast("long")
+    edges = F.aggregate(F.map_values("graph.edge_hypotheses"), F.lit(0).cast("long"), lambda s, h: s + many(h["edges"]))
+    return graphs.select("file_path", many(F.col("graph.object_nodes.nodes")).alias("nodes"), F.coalesce(edges, F.lit(0)).alias("edges"))
+
+
 def read_graphs(spark: SparkSession, path: str, glob: str = "topology_map*.json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, free nodes, edges) of all graph documents below a path."""
     g = parse_graph(whole_files(spark, path, glob))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.plans import pipelines
 from loomgraph.sources import files, sinks
 
 
@@ -17,3 +18,19 @@ def test_document_of_many_nodes_comes_in_parts(spark):
     assert found.count() == 397 * 396 // 2 + 3
     assert found.exceptAll(e.select("scan_id", "source_id", "target_id")).count() == 0
     docs.unpersist()
+
+
+def test_maps_take_their_nodes_from_one_computation(spark):
+    o = spark.range(600).select(F.lit("scene0000_00").alias("scan_id"), (F.col("id") % 200).cast("int").alias("instance_id"), F.lit("chair").alias("object_name"), F.array_repeat(F.lit(1.0).cast("float"), 64).alias("feature"), F.struct(*[((F.col("id") % 200) * 0.01 + F.col("id") * 1e-7).alias(c) for c in "xyz"]).alias("center"))
+    docs = pipelines.build_maps(o, radius=1.0)
+    assert "avg(" not in docs._jdf.queryExecution().toString()  # sums in two orders differ, and put a node into two cells
+    g = files.parse_graph(docs.select(F.col("scan_id").alias("file_path"), F.col("json").alias("value")))
+    edges = sum(3 * (0.01 * (b - a)) ** 2 < 1 for a in range(200) for b in range(a + 1, 200))
+    assert files.graph_edges(g).count() == edges and files.graph_nodes(g).count() == 200
+    total = files.graph_sizes(g).groupBy("file_path").agg(F.sum("nodes").alias("n"), F.sum("edges").alias("e"), F.count("*").alias("parts")).collect()
+    assert [(r["n"], r["e"], r["parts"]) for r in total] == [(200, edges, 2)]
+
+
+def test_sizes_of_documents_without_sections(spark):
+    docs = spark.createDataFrame([("a", "null"), ("b", '{"object_nodes": null}'), ("c", '{"object_nodes": {"nodes": {"1": {"id": "1"}}}, "edge_hypotheses": {"h": {"edges": null}, "i": {"edges": {"k": {"source_id": "1"}}}}}')], "file_path string, value string")
+    assert [(r["file_path"], r["nodes"], r["edges"]) for r in files.graph_sizes(files.parse_graph(docs)).orderBy("file_path").collect()] == [("a", 0, 0), ("b", 0, 0), ("c", 1, 1)]
