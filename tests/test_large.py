@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import matching
 from loomgraph.plans import pipelines
 from loomgraph.sources import files, sinks
 
@@ -34,3 +35,21 @@ def test_maps_take_their_nodes_from_one_computation(spark):
 def test_sizes_of_documents_without_sections(spark):
     docs = spark.createDataFrame([("a", "null"), ("b", '{"object_nodes": null}'), ("c", '{"object_nodes": {"nodes": {"1": {"id": "1"}}}, "edge_hypotheses": {"h": {"edges": null}, "i": {"edges": {"k": {"source_id": "1"}}}}}')], "file_path string, value string")
     assert [(r["file_path"], r["nodes"], r["edges"]) for r in files.graph_sizes(files.parse_graph(docs)).orderBy("file_path").collect()] == [("a", 0, 0), ("b", 0, 0), ("c", 1, 1)]
+
+
+def test_frames_of_one_map_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SHARE_NODES", 100)
+    box = [F.lit(1.0).alias(c) for c in "hwl"]
+    at = lambda n: [(F.col("id") % n).cast("double").alias(c) for c in "xyz"] + [F.array(F.col("id").cast("float")).alias("feature")]
+    source = spark.range(80).select(F.concat(F.lit("f"), (F.col("id") % 40).cast("string")).alias("frame"), F.lit("m").alias("map"), F.col("id").cast("string").alias("id"), *at(7), *box)
+    stray = source.where("id in ('0', '40')").withColumns({"map": F.lit("no nodes"), "frame": F.lit("s")})
+    target = spark.range(50).select(F.lit("m").alias("map"), (-F.col("id")).alias("ord"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("id"), *at(5), *box)
+    unseen = target.limit(3).withColumn("map", F.lit("no frames"))
+    truth = source.select("map", "id", F.concat(F.lit("t"), F.col("id")).alias("target_id")).where("cast(id as int) < 50")
+    found = matching.matcher_rows(source.unionByName(stray), target.unionByName(unseen), truth).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r["frame_id"] for r in found) == sorted(f"f{i}" for i in range(40))
+    assert len({r["part"] for r in found}) > 4
+    for r in found:
+        i = int(r["frame_id"][1:])
+        assert [v[0] for v in r["descriptors1"]] == [float(49 - k) for k in range(50)] and len(r["keypoints1"]) == len(r["bbox1"]) == 50
+        assert sorted(zip((v[0] for v in r["descriptors0"]), r["matches0"])) == [(i, 49 - i), (i + 40, 9 - i if i < 10 else -1)]
