@@ -53,3 +53,18 @@ def test_frames_of_one_map_are_spread(spark, monkeypatch):
         i = int(r["frame_id"][1:])
         assert [v[0] for v in r["descriptors1"]] == [float(49 - k) for k in range(50)] and len(r["keypoints1"]) == len(r["bbox1"]) == 50
         assert sorted(zip((v[0] for v in r["descriptors0"]), r["matches0"])) == [(i, 49 - i), (i + 40, 9 - i if i < 10 else -1)]
+
+
+def test_full_rows_are_spread_and_do_not_wait_for_a_hundred_rows(spark, monkeypatch, tmp_path):
+    from loomgraph.plans import kernel_queries
+
+    monkeypatch.setattr(matching, "SHARE_NODES", 100)
+    spark.conf.unset("parquet.page.size.row.check.min")
+    shares = [kernel_queries.QUERIES["training_texts"](spark, "/root/testdata/sf0.001")]
+    assert spark.conf.get("parquet.page.size.row.check.min") == "1"
+    monkeypatch.setattr(matching, "SHARE_NODES", 1 << 40)
+    monkeypatch.setattr(matching, "HOP_ROWS", 0)
+    shares.append(kernel_queries.QUERIES["training_texts"](spark, "/root/testdata/sf0.001"))
+    most = [df.groupBy(F.spark_partition_id(), "scene_graph_id").count().groupBy("scene_graph_id").count().agg(F.max("count")).first()[0] for df in shares]
+    assert most[0] > 1 and most[1] == 1
+    assert sorted(map(str, shares[0].collect())) == sorted(map(str, shares[1].collect()))
