@@ -68,3 +68,25 @@ def test_full_rows_are_spread_and_do_not_wait_for_a_hundred_rows(spark, monkeypa
     most = [df.groupBy(F.spark_partition_id(), "scene_graph_id").count().groupBy("scene_graph_id").count().agg(F.max("count")).first()[0] for df in shares]
     assert most[0] > 1 and most[1] == 1
     assert sorted(map(str, shares[0].collect())) == sorted(map(str, shares[1].collect()))
+
+
+def test_each_key_once_whatever_repeats(spark, monkeypatch):
+    from loomgraph.operators import relational
+
+    df = spark.createDataFrame([(1, "a", [1.0]), (1, "a", [1.0]), (2, "b", [2.0]), (None, "c", [3.0]), (None, "c", [3.0]), (3, "d", None), (4, "e", [5.0]), (4, "e", [5.0]), (4, "e", [5.0])], "k long, s string, v array<double>")
+    rows = lambda d: sorted(map(str, d.collect()))
+    for some in (df, df.where("k > 1"), df.where("k in (2, 3)"), df.where("k > 9")):
+        assert rows(relational.once(some, "k")) == rows(some.dropDuplicates(["k"]))
+    monkeypatch.setattr(relational, "REPEATED_KEYS", 1)
+    assert rows(relational.once(df, "k")) == rows(df.dropDuplicates(["k"]))
+
+
+def test_vectors_of_observations_are_shuffled_once(spark, tmp_path):
+    from loomgraph.plans import kernel_queries
+
+    for name in ("instance_info", "object_node", "matched_instance_correspondence_to_00"):
+        t = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        t.dropDuplicates([t.columns[0]]).write.parquet(f"{tmp_path}/{name}.parquet")
+    repeated, single = (kernel_queries.QUERIES["training_rows"](spark, folder) for folder in ("/root/testdata/sf0.001", str(tmp_path)))
+    assert "first(feature" not in single._jdf.queryExecution().executedPlan().toString()  # not by obs_id, and then by frame
+    assert sorted(map(str, repeated.collect())) == sorted(map(str, single.collect()))
