@@ -70,6 +70,20 @@ def test_full_rows_are_spread_and_do_not_wait_for_a_hundred_rows(spark, monkeypa
     assert sorted(map(str, shares[0].collect())) == sorted(map(str, shares[1].collect()))
 
 
+def test_copies_of_maps_are_few_however_many_are_large(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SHARE_NODES", 1)
+    cores = spark.sparkContext.defaultParallelism
+    own = [F.concat(F.lit("m"), (F.col("id") % 40).cast("string")).alias("map"), F.col("id").cast("string").alias("id"), *[F.col("id").cast("double").alias(c) for c in "xyz"], F.array(F.col("id")).alias("feature"), F.col("id").alias("text"), *[F.lit(1.0).alias(c) for c in "hwl"]]
+    source = spark.range(4000).select(F.concat_ws("/", (F.col("id") % 40).cast("string"), (F.col("id") % 2000).cast("string")).alias("frame"), *own)
+    target = spark.range(400).select(F.col("id").alias("ord"), *own)
+    truth = source.select("map", "id", F.col("id").alias("target_id")).where("cast(id as int) < 400")
+    found = matching.matcher_rows(source, target, truth, texts=True).withColumn("part", F.spark_partition_id()).cache()
+    assert found.count() == 2000 and found.where("size(text_embedding1) = 10 and size(keypoints0) = 2").count() == 2000
+    assert found.select(F.explode("matches0").alias("m")).where("m >= 0").count() == 400
+    assert found.select("scene_graph_id", "part").distinct().count() <= 40 + 2 * cores
+    found.unpersist()
+
+
 def test_each_key_once_whatever_repeats(spark, monkeypatch):
     from loomgraph.operators import relational
 
